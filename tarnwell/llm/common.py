@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel holds at once (its temporary arrays take about 30 times as much).
 SLICE_BYTES = 1 << 20
@@ -180,3 +181,45 @@ def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(counts) - counts
     return np.repeat(starts - first, counts) + np.arange(total)
+
+
+def binaries(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """An Arrow binary array of the rows of data (counts[i] items each), without copying them one by one."""
+    off = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * data.dtype.itemsize
+    if off[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def batch_of(**columns) -> pa.RecordBatch:
+    """A record batch of NumPy or Arrow columns."""
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def ids_of(column: pa.Array) -> np.ndarray:
+    """A column of integers without nulls, as int64."""
+    return np.asarray(column.cast(pa.int64()).to_numpy(zero_copy_only=False), np.int64)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root): of every id of the edges (a, b), the smallest id connected with it.
+
+    Alternating large-star and small-star steps; each is one shuffle and its result a durable table. Hubs are
+    windows, which spill, never lists. Nulls must be gone before; self edges are dropped.
+    """
+    e = durable(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
+    seen = None
+    w = Window.partitionBy("u")
+    while True:
+        both = e.unionByName(e.selectExpr("v AS u", "u AS v")).withColumn("m", F.least(F.min("v").over(w), "u"))
+        large = both.where("v > u").selectExpr("v AS u", "m AS v").where("u <> v").distinct()
+        small = large.withColumn("m", F.min("v").over(w))
+        small = small.selectExpr("v AS u", "m AS v").unionByName(small.selectExpr("u", "m AS v")).where("u <> v").distinct()
+        new = durable(small, "edges")
+        now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        drop_durable(e)
+        e = new
+        if now == seen:
+            break
+        seen = now
+    return e.selectExpr("u AS id", "v AS root").unionByName(e.selectExpr("v AS id", "v AS root")).distinct()
