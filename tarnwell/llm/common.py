@@ -223,3 +223,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = now
     return e.selectExpr("u AS id", "v AS root").unionByName(e.selectExpr("v AS id", "v AS root")).distinct()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -207,11 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: RuleConfig = RuleConfig()) -> l
     return learn({s: v[order] for s, v in x.items()}, rows.column("quality").to_numpy()[order] == 0, cfg)
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """docs with _stats, a struct of the statistics, and _rule, the number of the rule that rejects a row or null."""
-    return docs.withColumn("_stats", _statistics_udf(F.coalesce("text", F.lit("")))).withColumn("_rule", rejects(rules))
+def judge(docs: DataFrame, rules: list[Rule], stats: str = "_stats", rule: str = "_rule") -> DataFrame:
+    """docs with a struct of the statistics and the number of the rule that rejects a row, or null."""
+    return docs.withColumn(stats, _statistics_udf(F.coalesce("text", F.lit("")))).withColumn(rule, rejects(rules, stats))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     """The rows of docs that no rule rejects; all columns as they were."""
-    return judge(docs, fit(docs, labels, cfg)).where("_rule IS NULL").select(*[docs[c] for c in docs.columns])
+    stats, rule = C.fresh(docs, "_stats"), C.fresh(docs, "_rule")
+    return judge(docs, fit(docs, labels, cfg), stats, rule).where(F.col(rule).isNull()).select(*docs.columns)
