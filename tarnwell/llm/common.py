@@ -8,6 +8,8 @@ polynomial hashes, computed for a whole batch at once with no Python loop over w
 from __future__ import annotations
 
 import contextlib
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,7 +36,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="tarnwell-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # with its scheme, so that other readers find the same place
+    return re.sub("^file:/*", "file:///", hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()).rstrip("/")
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
