@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, mixing, rules, secret_scan, sketch, warc, windows, wrapper
+from . import ann, bpe, mixing, rules, secret_scan, sketch, suffixes, warc, windows, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_encoding": op3_bpe_encoding,
     "op4_quality_rules": op4_quality_rules,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_mixing_sources": op7_mixing_sources,
     "op8_secret_scans": op8_secret_scans,
     "op9_warc": op9_warc,
