@@ -79,7 +79,9 @@ def test_compact_windows_are_the_nodes_of_the_cartesian_tree():
     for f in range(2):
         v = windows.order_values(sh, f, cfg)
         for d in range(len(to) - 1):
-            want |= {(f, d, a + to[d], c + to[d], b + to[d]) for a, c, b in windows.cartesian_windows(v[to[d] : to[d + 1]].tolist(), cfg.width)}
+            nodes = windows.cartesian_windows(v[to[d] : to[d + 1]].tolist(), cfg.width)
+            reach = cfg.width - 1
+            want |= {(f, d, max(a, c - reach) + int(to[d]), c + int(to[d]), min(b, c + reach) + int(to[d])) for a, c, b in nodes}
     assert got == want and len(got) > 20
 
 

@@ -49,7 +49,7 @@ def test_long_lists_divide():
 
 
 def site(n=12):
-    return [(i, f"http://Example.com/{i}", f"<html><head><title>T{i}</title><style>p{{}}</style></head><body><div class=top>Welcome to the site</div><nav><a>Home</a></nav><article><h1>Title {i}</h1>" + "".join(f"<p>Paragraph {k} of page {i} <b>bold</b>" for k in range(1 + i % 4)) + "</article><div class=bottom>All rights reserved</div></body></html>") for i in range(n)]
+    return [(i, f"http://Example.com/{i}", f"<html><head><title>T{i}</title><style>p{{}}</style></head><body><div class=top>Welcome to the site</div><nav><a>Home</a></nav><article><h1>Title {i}</h1>" + "".join(f"<p>Paragraph {k} of page {i} <b>bold {i}</b>" for k in range(1 + i % 4)) + "</article><div class=bottom>All rights reserved</div></body></html>") for i in range(n)]
 
 
 def frame(spark, rows):
@@ -62,7 +62,7 @@ def test_template_goes_and_content_stays(spark, broadcast):
     assert len(got) == 12
     for i, r in got.items():
         assert r.host == "example.com" and r.title == f"T{i}"
-        assert r.content.split("\n") == [f"Title {i}", *[f"Paragraph {k} of page {i} bold" for k in range(1 + i % 4)]]
+        assert r.content.split("\n") == [f"Title {i}", *[f"Paragraph {k} of page {i} bold {i}" for k in range(1 + i % 4)]]
 
 
 def test_awkward_rows(spark):
