@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .ingest import URL
 
@@ -48,7 +49,7 @@ def request(post: Post, path: str, model: str, texts: list[str], key: str = "")
 
 def embed(df: DataFrame, base: str, model: str, key: str = "", text: str = "text", batch: int = 64, connect: Callable[[str], tuple[Post, str]] = http_post) -> DataFrame:
     """df with the column embedding. connect makes a partition's session; tests give their own."""
-    schema = df.schema.add("embedding", "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         post, path = connect(base)
