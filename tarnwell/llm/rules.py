@@ -126,8 +126,16 @@ def covers(rule: Rule, x: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def _thresholds(x: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
-    return {s: np.unique(np.quantile(v, np.linspace(0, 1, k), method="nearest")) for s, v in x.items()}
+def _thresholds(x: dict[str, np.ndarray], y: np.ndarray, k: int) -> dict[str, np.ndarray]:
+    """Cuts by statistic: in the middle between values that follow each other, about the quantiles of either kind."""
+    out = {}
+    for s, v in x.items():
+        values = np.unique(v)
+        at = np.searchsorted(values, np.concatenate([np.quantile(w, np.linspace(0, 1, k), method="nearest") for w in (v[y], v[~y]) if len(w)]))
+        at = np.unique(np.concatenate([at, at + 1]))
+        at = at[(at > 0) & (at < len(values))]
+        out[s] = (values[at - 1] + values[at]) / 2
+    return out
 
 
 def _grow(x: dict[str, np.ndarray], y: np.ndarray, cfg: RuleConfig) -> Rule:
@@ -137,7 +145,7 @@ def _grow(x: dict[str, np.ndarray], y: np.ndarray, cfg: RuleConfig) -> Rule:
         p0, n0 = y[inside].sum(), (~y[inside]).sum()
         sub = {s: v[inside] for s, v in x.items()}
         yy, best = y[inside], (1e-9, None)
-        for s, values in _thresholds(sub, cfg.thresholds).items():
+        for s, values in _thresholds(sub, yy, cfg.thresholds).items():
             lo = sub[s]
             for up in (True, False):
                 for v in values:
