@@ -67,4 +67,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words as in common.py; sets of three words; pairs of Jaccard similarity 0.5 and equal word sequences, closed transitively.
+_NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+  s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 2], ' ') END AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+  e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.5 * (x.n + y.n - c)
+    UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.ws = y.ws AND x.doc_id <> y.doc_id AND len(x.ws) > 0),
+  r(id, other) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other)
+  SELECT id AS doc_id, min(other) AS duplicate_of FROM r GROUP BY id HAVING min(other) < id"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_minhash_near_dedup": _NEAR,
+}
