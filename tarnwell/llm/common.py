@@ -11,6 +11,7 @@ import contextlib
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -44,8 +45,25 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of finished jobs: Spark removes them when the driver's JVM collects their handles, which a short job may never make it do.
+
+    Events on their way to listeners hold the last job's plan, so they go first; handles that Python lets go of in the
+    first round are collected in the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        with contextlib.suppress(Exception):
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def drop_durable(df: DataFrame) -> None:
