@@ -41,9 +41,9 @@ class ScanConfig:
     width: int = 5
     filters: int = 24
     embedding: int = 8
-    examples: int = 3000
-    epochs: int = 8
-    recall: float = 0.995
+    examples: int = 6000
+    epochs: int = 10
+    recall: float = 0.998
     seed: int = 23
 
     @property
@@ -163,7 +163,7 @@ class Network:
     def train(self, x: np.ndarray, y: np.ndarray) -> None:
         cfg, rng = self.cfg, np.random.default_rng(self.cfg.seed + 1)
         m = {n: [np.zeros_like(v), np.zeros_like(v)] for n, v in self.w.items()}
-        step = 0
+        step, steps = 0, cfg.epochs * -(-len(x) // 64)
         for _ in range(cfg.epochs):
             for i in np.array_split(rng.permutation(len(x)), -(-len(x) // 64)):
                 z, f, at, cols = self._forward(x[i])
@@ -182,11 +182,12 @@ class Network:
                         np.add.at(demb, x[i][row, p + t].ravel(), part.reshape(-1, cfg.embedding))
                 g["emb"] = demb
                 step += 1
+                rate = 0.005 * max(0.02, 1 - step / steps)
                 for n, v in self.w.items():
                     a, b = m[n]
                     a += 0.1 * (g[n] - a)
                     b += 0.001 * (g[n] ** 2 - b)
-                    v -= 0.004 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+                    v -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
 
 
 def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
@@ -206,11 +207,12 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
         return s.upper() if rng.random() < 0.1 else s
 
     def secret() -> tuple[str, str]:
-        form = int(rng.integers(13))
+        form = int(rng.integers(16))
         value = [
             lambda: digest(pick([32, 40, 40, 64])), lambda: chars(alnum, int(rng.integers(20, 48))), lambda: "AKIA" + chars(string.ascii_uppercase + string.digits, 16), lambda: pick(["ghp_", "gho_", "ghs_"]) + chars(alnum, 36),
             lambda: pick(["sk-", "sk_live_", "rk_live_", "pk_live_"]) + chars(alnum, int(rng.integers(24, 49))), lambda: "xoxb-" + chars(string.digits, 12) + "-" + chars(alnum, 24), lambda: "AIza" + chars(alnum + "_-", 35), lambda: "eyJ" + chars(alnum + "_-", 33) + ".eyJ" + chars(alnum + "_-", 60) + "." + chars(alnum + "_-", 43),
             lambda: base64.b64encode(rng.bytes(int(rng.integers(20, 48)))).decode(), lambda: chars(alnum + "!@%^&*$-_", int(rng.integers(9, 20))) + chars(string.digits, 1), lambda: digest(40), lambda: "glpat-" + chars(alnum, 20), lambda: digest(40),
+            lambda: digest(int(rng.integers(10, 31))), lambda: digest(int(rng.integers(10, 31))), lambda: chars(lower + string.digits, int(rng.integers(8, 24))) + chars(string.digits, 1),
         ][form]()
         lead = pick(names) + pick([" = ", "=", ": ", ":", " := ", " => "]) + pick(['"', "'", "", '"'])
         if form in (2, 3, 4, 5, 6, 7, 11) and rng.random() < 0.4:
@@ -226,7 +228,8 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
             lambda: (pick(["", "path = ", "in "]), "/" + "/".join([word(), word(), "v" + chars(string.digits, 2), word()]) + ".txt"), lambda: (pick(["date: ", "", "at = "]), "20" + chars("0123", 2) + "-0" + chars("123456789", 1) + "-1" + chars(string.digits, 1) + "T10:" + chars("012345", 2)), lambda: (pick(["tel: ", "phone = ", "", "+"]), chars(string.digits, 3) + "-" + chars(string.digits, 3) + "-" + chars(string.digits, 6)),
             lambda: (pick(names) + pick([" = ", ": ", "="]) + '"', pick(["your-api-key-here-1", "xxxxxxxxxxxxxxxx0000", "changeme12345678", "example-token-0123", "0000000000000000000", "YOUR_SECRET_KEY_1"])), lambda: ("", word() + word() + chars(string.digits, 2) + word() + word()), lambda: (pick(["version = ", "v", "ratio: "]), ".".join(chars(string.digits, 3) for _ in range(4))),
             lambda: (pick(["", "IBAN ", "iban: "]), pick(["DE", "FR", "ES"]) + chars(string.digits, 20)), lambda: (pick(["isbn: ", "doi:", "ip = "]), "10." + chars(string.digits, 4) + "/" + word() + "." + chars(string.digits, 6)),
-        ][int(rng.integers(13))]()
+            lambda: ("", chars(string.digits, int(rng.integers(13, 20)))), lambda: (pick(["", "", "n = ", "x: "]), chars(string.digits, 16)),
+        ][int(rng.integers(15))]()
 
     out = []
     for k in range(n):
