@@ -94,7 +94,11 @@ def _decompressor(data: bytes) -> zstd.ZstdDecompressor:
 
 def build_dictionary(pages: DataFrame, cfg: WarcConfig) -> bytes:
     """A dictionary of a bounded sample of the records; empty if they are too few."""
-    rows = pages.select("page_id", "url", "html").orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(cfg.sample).toLocalIterator()
+    h = F.xxhash64("page_id", "url")
+    total = pages.count()
+    share = min(1.0, (2 * cfg.sample + 100) / max(1, total))  # so that few rows are sorted; ties and chance leave enough
+    some = pages.select("page_id", "url", "html").where(h <= F.lit(int(min(2**63 - 1, -(2**63) + share * 2.0**64))))
+    rows = some.orderBy(h, "page_id", "url").limit(cfg.sample).collect() if cfg.sample else []
     samples = [record(r.page_id, r.url, (r.html or "")[: 1 << 16], cfg) for r in rows]
     try:
         return zstd.train_dictionary(cfg.dictionary_bytes, samples, k=512, d=8, level=cfg.level).as_bytes() if len(samples) >= 8 else b""
