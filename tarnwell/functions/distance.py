@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,9 @@ def pairwise(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 def exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """Distances of corresponding rows."""
     return -(q * x).sum(-1) + 0.0 if metric == "ip" else ((q - x) ** 2).sum(-1)
+
+
+def random_units(spark: SparkSession, n: int, dim: int, seed: int = 42) -> DataFrame:
+    """(vec_id, embedding): n random unit vectors (test data)."""
+    drawn = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.randn(seed + i) for i in range(dim)]).alias("v"))
+    return drawn.select("vec_id", normalize(F.col("v")).alias("embedding"))

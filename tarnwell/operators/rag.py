@@ -65,3 +65,23 @@ def tool_output(queries: DataFrame, results: DataFrame, top_k: int = 5) -> DataF
     df = queries.select("query_id").join(of, "query_id", "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<rank:int,score:double,text:string>>")))
     part = F.transform("r", lambda s: F.concat(F.lit("--- Result "), s["rank"].cast("string"), F.lit(" (score: "), general(s["score"]), F.lit(") ---\n"), s["text"], F.lit("\n\n")))
     return df.select("query_id", F.concat(F.lit("Found "), F.size("r").cast("string"), F.lit(" relevant passages:\n\n"), F.array_join(part, "")).alias("output"))
+
+
+def response(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """(query_id, body): the results of every query as JSON, {"results": [{id, score, distance, text}]}."""
+    of = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", "distance", "text"))).alias("r"))
+    df = queries.select("query_id").join(of, "query_id", "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<rank:int,id:bigint,score:double,distance:double,text:string>>")))
+    return df.select("query_id", F.to_json(F.struct(F.transform("r", lambda s: s.dropFields("rank")).alias("results"))).alias("body"))
+
+
+def search_tool(chunks: DataFrame, embed: Embed, cfg: PipelineConfig = PipelineConfig(), metric: str = "l2") -> Callable[..., str]:
+    """A function (query, top_k=5) for an agent: the text of tool_output(); ValueError for an empty query."""
+    spark = chunks.sparkSession
+
+    def search(query: str, top_k: int = 5) -> str:
+        if not query:
+            raise ValueError("the query is missing")
+        asked = spark.createDataFrame([(0, query)], "query_id long, query string")
+        return tool_output(asked, retrieve(asked, chunks, embed, cfg, metric), top_k).first().output
+
+    return search

@@ -105,3 +105,8 @@ def test_keywords_and_templates(spark):
 @pytest.mark.parametrize(("x", "text"), [(0.5, "0.5"), (0.333333333, "0.333333"), (1.0, "1"), (0.0, "0"), (12.3456789, "12.3457"), (0.000123456789, "0.000123457"), (123456.4, "123456")])
 def test_general_numbers(spark, x, text):
     assert one(spark, t=T.general(F.lit(x))).t == text
+
+
+def test_random_unit_vectors(spark):
+    rows = [r.embedding for r in D.random_units(spark, 20, 8).collect()]
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-12 for v in rows) and len({tuple(v) for v in rows}) == 20

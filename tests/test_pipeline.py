@@ -176,3 +176,13 @@ def test_streams(spark, tmp_path):
     batches.ingest(stream, f"file://{tmp_path}/chunks", f"file://{tmp_path}/state2", embed, once=True).awaitTermination()
     rows = spark.read.parquet(f"file://{tmp_path}/chunks")
     assert {r.doc_id for r in rows.collect()} == {1, 2, 3} and rows.select("chunk_id").distinct().count() == rows.count()
+
+
+def test_response_and_tool(spark):
+    q = spark.createDataFrame([(7, "q"), (8, "r")], "query_id long, query string")
+    body = {r.query_id: json.loads(r.body) for r in rag.response(q, found(spark, 2)).collect()}
+    assert [x["id"] for x in body[7]["results"]] == [1, 2] and set(body[7]["results"][0]) == {"id", "score", "distance", "text"} and body[8] == {"results": []}
+    search = rag.search_tool(ingest.chunk_table(docs(spark), embed, ChunkConfig(10, 2)), embed)
+    assert search("graph", 2).startswith("Found 2 relevant passages:")
+    with pytest.raises(ValueError):
+        search("")
