@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import saved
+
 
 def rollup(log: DataFrame, stage: str, micros: str) -> DataFrame:
     """(stage, n, total_us, avg_us): whole averages; 0 where there is nothing."""
@@ -27,7 +29,7 @@ def latency(log: DataFrame, value: str, concurrent: int = 1) -> DataFrame:
     ordered = log.where(v.isNotNull()).select(v.alias("v"))
     agg = ordered.agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"), F.sum("v").alias("total"))
     # the element of one place, without collecting the column: counts by value, summed up in order
-    by = ordered.groupBy("v").agg(F.count("*").alias("c")).repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    by = saved(ordered.groupBy("v").agg(F.count("*").alias("c")).repartitionByRange("v").withColumn("part", F.spark_partition_id()))
     part = by.groupBy("part").agg(F.sum("c").alias("pc"))
     before = part.withColumn("before", F.coalesce(F.sum("pc").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
     up_to = by.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,12 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or tempfile.mkdtemp(prefix='tarnwell-')).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
 
@@ -269,7 +261,7 @@ def documents_json_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def save_load_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = folder(spark)
+    path = store.folder(spark)
     store.save(table(spark, d, "embeddings"), path, IndexConfig(dim=DIM))
     back, cfg = store.load(spark, path)
     return back.select("vec_id", "label", F.size("embedding").alias("n"), F.lit(cfg.dim).alias("dim"))
@@ -290,7 +282,7 @@ def index_health(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_batches(spark: SparkSession, d: str) -> DataFrame:
     """All requests as a stream of files, answered in micro-batches."""
-    path = folder(spark)
+    path = store.folder(spark)
     _requests(spark, d).withColumn("req_id", F.col("conv_id") * 1000 + F.col("turn")).write.parquet(f"{path}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
     streaming.serve(stream, f"{path}/out", f"{path}/state", lambda p, s: f"{len(p)}/{len(s)}", BatchConfig(), once=True, limited=False).awaitTermination()
@@ -299,7 +291,7 @@ def stream_batches(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """All documents as a stream of files, chunked into a table."""
-    path = folder(spark)
+    path = store.folder(spark)
     docs = spark.readStream.schema(table(spark, d, "documents").schema).option("pathGlobFilter", "*").parquet(f"{d}/documents.parquet" if _is_dir(spark, f"{d}/documents.parquet") else f"{d}/documents.parque[t]")
     streaming.ingest(docs, f"{path}/out", f"{path}/state", _embed, once=True).awaitTermination()
     return spark.read.parquet(f"{path}/out").select("doc_id", "chunk_idx", "text")

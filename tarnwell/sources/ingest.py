@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
 from ..functions.text import chunks as cut
+from .store import saved
 
 VECTORS_BODY = "vectors array<struct<id: bigint, data: array<float>>>"
 DOCUMENTS_BODY = "documents array<struct<id: string, text: string>>, chunk_size int, chunk_overlap int"
@@ -35,9 +36,10 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
 def numbered(chunks: DataFrame, key: str = "doc_id", start: int = 0) -> DataFrame:
     """chunks with chunk_id, from `start` on in order of document and chunk.
 
-    Numbers come from two small sums, over documents in ranges and within a document: no global sort in one task.
+    Numbers come from two small sums, over documents in ranges and within a document: no global sort in one task. The
+    ranges are saved, so that both sums see the same ones.
     """
-    per = chunks.groupBy(key).agg(F.count("*").alias("_n")).repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    per = saved(chunks.groupBy(key).agg(F.count("*").alias("_n")).repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
     part = per.groupBy("_p").agg(F.sum("_n").alias("_pn"))
     part = part.select("_p", F.coalesce(F.sum("_pn").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     first = per.join(F.broadcast(part), "_p").select(key, (F.col("_b") + F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.lit(start)).alias("_first"))
@@ -45,9 +47,9 @@ def numbered(chunks: DataFrame, key: str = "doc_id", start: int = 0) -> DataFram
 
 
 def chunk_table(docs: DataFrame, embed: Callable[[Column], Column] | None = None, cfg: ChunkConfig = ChunkConfig(), key: str = "doc_id", start: int = 0) -> DataFrame:
-    """(chunk_id, doc_id, chunk_idx, text[, embedding]) of documents."""
-    out = numbered(cut(docs, cfg, key), key, start).select("chunk_id", key, "chunk_idx", "text")
-    return out.withColumn("embedding", embed(F.col("text"))) if embed else out
+    """(chunk_id, doc_id, chunk_idx, text[, embedding]) of documents, as a saved table: texts are cut and embedded once."""
+    out = numbered(saved(cut(docs, cfg, key)), key, start).select("chunk_id", key, "chunk_idx", "text")
+    return saved(out.withColumn("embedding", embed(F.col("text"))) if embed else out)
 
 
 def counts(docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,19 @@ from ..config import IndexConfig
 VERSION = 1
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share, spark.checkpoint.dir; one of our own only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(base or tempfile.mkdtemp(prefix='tarnwell-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: computed once, whatever reads it, and safe from lost executors."""
+    path, schema = folder(df.sparkSession), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def save(vectors: DataFrame, path: str, cfg: IndexConfig, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     """Writes the table with all its columns, texts too, and the settings."""
     writer = vectors.write.mode(mode)
