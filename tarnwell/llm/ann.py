@@ -30,7 +30,7 @@ from . import common as C
 
 @dataclass(frozen=True)
 class AnnConfig:
-    """sample: vectors that the tree is fitted on; trial: queries of the calibration; recall: what they must reach."""
+    """sample: vectors that the tree is fitted on; trial: queries of the calibration; recall: what they must reach; block, queries: vectors and queries that meet at once."""
 
     k: int = 10
     branch: int = 8
@@ -40,6 +40,7 @@ class AnnConfig:
     trial: int = 400
     recall: float = 0.96
     block: int = 4000
+    queries: int = 40_000
     rounds: int = 12
     seed: int = 29
 
@@ -197,13 +198,15 @@ def neighbours(table: DataFrame, cfg: AnnConfig = AnnConfig(), key: str = "vec_i
         return pd.concat(out) if out else pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
 
     placed = C.durable(rows.mapInArrow(place, "leaf long, id long, v array<float>"), "placed")
-    # a leaf of any size is met block by block; a query goes to each block of its leaves, in as many groups as bound a side
-    sizes = placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / cfg.block).cast("int").alias("blocks"))
+    # a leaf of any size is met block by block, and about `queries` of the queries that visit it at once
+    n = F.col("count")
+    sizes = placed.groupBy("leaf").count().select("leaf", F.ceil(n / cfg.block).cast("int").alias("blocks"), F.ceil(n * visits / cfg.queries).cast("int").alias("parts"))
     sized = F.broadcast(sizes)  # at most most_leaves rows
-    side = lambda n: F.pmod(F.xxhash64("id" if n else "qid"), F.col("blocks")).cast("int")
-    points = placed.join(sized, "leaf").select("leaf", side(1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "id", "v")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    one = lambda key, of: F.pmod(F.xxhash64(key), F.col(of)).cast("int")
+    points = placed.join(sized, "leaf").select("leaf", one("id", "blocks").alias("block"), each("parts").alias("part"), "id", "v")
     asked = rows.mapInArrow(ask, "leaf long, qid long, q array<float>").join(sized, "leaf")
-    asked = asked.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), side(0).alias("part"), "qid", "q")
+    asked = asked.select("leaf", each("blocks").alias("block"), one("qid", "parts").alias("part"), "qid", "q")
     keys = ["leaf", "block", "part"]
     met = asked.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(meet, "vec_id long, neighbour long, distance double")
     w = Window.partitionBy("vec_id").orderBy("distance", "neighbour")

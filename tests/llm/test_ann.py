@@ -53,5 +53,5 @@ def test_awkward_rows(spark):
 def test_many_equal_vectors_meet_in_blocks(spark):
     x = np.zeros((300, 3))
     df = spark.createDataFrame(rows_of(x), "vec_id long, embedding array<float>")
-    got = A.neighbours(df, A.AnnConfig(leaf=20, block=70)).collect()
+    got = A.neighbours(df, A.AnnConfig(leaf=20, block=70, queries=90)).collect()
     assert len(got) == 3000 and {r.neighbour for r in got if r.vec_id == 250} == set(range(10))
