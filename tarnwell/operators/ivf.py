@@ -8,8 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +22,23 @@ class Cells:
     centres: np.ndarray
 
     @classmethod
-    def fit(cls, vectors: DataFrame, cells: int, *, vector: str = "embedding", seed: int = 42, sample: int = 100_000) -> Cells:
-        """By k-means on at most `sample` vectors, taken at random."""
-        n = vectors.count()
-        some = vectors if n <= sample else vectors.sample(sample / n, seed)
-        model = KMeans(k=cells, seed=seed, featuresCol="f", maxIter=15).fit(some.select(array_to_vector(F.col(vector).cast("array<double>")).alias("f")))
-        return cls(np.array(model.clusterCenters()))
+    def fit(cls, vectors: DataFrame, cells: int, *, vector: str = "embedding", seed: int = 42, sample: int = 50_000, rounds: int = 15) -> Cells:
+        """By k-means on at most `sample` vectors, taken by a hash: of bounded size, so that the driver does it at once."""
+        drawn = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(sample).toArrow()["v"]
+        x = _matrix(drawn.combine_chunks())
+        if not len(x):
+            raise ValueError("there are no vectors to fit cells on")
+        rng = np.random.default_rng(seed)
+        c = [x[rng.integers(len(x))]]
+        near = D.pairwise(x, c[0][None], "l2")[:, 0]
+        while len(c) < cells and near.sum() > 1e-12:  # k-means++
+            c.append(x[rng.choice(len(x), p=near / near.sum())])
+            near = np.minimum(near, D.pairwise(x, c[-1][None], "l2")[:, 0])
+        centres = np.array(c)
+        for _ in range(rounds):
+            at = D.pairwise(x, centres, "l2").argmin(1)
+            centres = np.array([x[at == i].mean(0) if (at == i).any() else centres[i] for i in range(len(centres))])
+        return cls(centres)
 
     def assign(self, vectors: DataFrame, vector: str = "embedding") -> DataFrame:
         """vectors with the column cell."""

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,22 +23,27 @@ def check_dim(df: DataFrame, vector: str, dim: int) -> DataFrame:
     return df.withColumn(vector, F.when(ok.isNull(), F.col(vector)))
 
 
-def blocks(df: DataFrame, key: str, vector: str, rows: int = 2048) -> DataFrame:
-    """Rows packed into matrices: (ids, data), one row for each `rows` rows or less of a partition. No shuffle."""
+def blocks(df: DataFrame, key: str, vector: str, by: str | None = None, rows: int = 2048) -> DataFrame:
+    """Rows packed into matrices: (ids, data, by), one row for each `rows` rows or less of a partition and value of by. No shuffle."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, rows):
-                part = b.slice(s, rows)
-                x = _matrix(part.column(1))
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], names=["ids", "data"])
+            of = b.column(2).dictionary_encode()
+            for k, value in enumerate(of.dictionary):
+                own = b.filter(pc.equal(of.indices, k)) if len(of.dictionary) > 1 else b
+                for s in range(0, own.num_rows, rows):
+                    part = own.slice(s, rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([_matrix(part.column(1)).tobytes()], pa.binary()), pa.array([value.as_py()], pa.string())], names=["ids", "data", "by"])
 
-    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(pack, "ids array<long>, data binary")
+    whole = F.col(by).cast("string") if by else F.lit("")
+    usable = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), whole.alias("by"))
+    return usable.where("by IS NOT NULL").mapInArrow(pack, "ids array<long>, data binary, by string")
 
 
-def _met(queries: DataFrame, vectors: DataFrame, key: str, vector: str, qkey: str, qvector: str) -> DataFrame:
-    q = blocks(queries, qkey, qvector).withColumnsRenamed({"ids": "qids", "data": "qdata"})
-    return q.crossJoin(blocks(vectors, key, vector))
+def _met(queries: DataFrame, vectors: DataFrame, key: str, vector: str, qkey: str, qvector: str, by: str | None = None) -> DataFrame:
+    q = blocks(queries, qkey, qvector, by).withColumnsRenamed({"ids": "qids", "data": "qdata"})
+    v = blocks(vectors, key, vector, by)
+    return q.join(v, "by").drop("by") if by else q.drop("by").crossJoin(v.drop("by"))
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -50,8 +56,9 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             yield qids, q, ids, x
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", *, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", qvector: str = "embedding", skip_self: bool = False) -> DataFrame:
-    """(query_id, rank, id, distance, score): the k nearest vectors of every query, ties by id.
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", *, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", qvector: str = "embedding", skip_self: bool = False, by: str | None = None) -> DataFrame:
+    """(query_id, rank, id, distance, score): the k nearest vectors of every query, ties by id; with by, among those
+    of the same value in that column of both sides.
 
     Matrices of queries meet matrices of vectors; each pair keeps its k best, and a window keeps those of a query.
     Whether the queries are broadcast is the planner's choice, by their size.
@@ -68,7 +75,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", *,
                 i, j = np.nonzero((d <= kth + 1e-9 * (1 + np.abs(kth))) & np.isfinite(d))  # ties are settled on exact distances
                 yield pa.RecordBatch.from_arrays([pa.array(qids[s + i]), pa.array(ids[j]), pa.array(D.exact(q[s + i], x[j], metric))], names=["query_id", "id", "distance"])
 
-    near = _met(queries, vectors, key, vector, qkey, qvector).mapInArrow(best, "query_id long, id long, distance double")
+    near = _met(queries, vectors, key, vector, qkey, qvector, by).mapInArrow(best, "query_id long, id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance", D.score(F.col("distance")).alias("score"))
 

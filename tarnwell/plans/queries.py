@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BatchConfig, ChunkConfig, IndexConfig, PipelineConfig
@@ -81,10 +81,8 @@ def score_of_distance(spark: SparkSession, d: str) -> DataFrame:
 def filtered_top5(spark: SparkSession, d: str) -> DataFrame:
     """Search among vectors of the query's own label: an attribute filter before the top k."""
     e = table(spark, d, "embeddings")
-    met = e.selectExpr("vec_id AS query_id", "embedding AS q", "label").join(e.selectExpr("vec_id AS id", "embedding AS v", "label"), "label").where("query_id <> id")
-    met = met.select("query_id", "id", D.l2_sq(F.col("q"), F.col("v")).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return rounded(met.withColumn("rank", F.row_number().over(w)).where("rank <= 5"), "distance")
+    near = knn.top_k(e.withColumnRenamed("vec_id", "query_id"), e, 5, skip_self=True, by="label")
+    return rounded(near.select("query_id", "rank", "id", "distance"), "distance")
 
 
 def knn_graph_simple(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +109,7 @@ def hnsw_top10(spark: SparkSession, d: str) -> DataFrame:
 def _ivf(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     cells = ivf.Cells.fit(v, 16)
-    return ivf.search(_queries(spark, d), cells.assign(v), cells, 10, 8)
+    return ivf.search(_queries(spark, d), cells.assign(v), cells, 10, 11)
 
 
 def ivf_top10(spark: SparkSession, d: str) -> DataFrame:
