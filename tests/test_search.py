@@ -36,12 +36,12 @@ def test_exact_top_k(spark, metric):
 
 
 def test_edges(spark):
-    one = spark.createDataFrame([(100, [1.0, 0, 0, 0])], "vec_id long, embedding array<double>")
-    q = spark.createDataFrame([(0, [1.0, 0, 0, 0])], "query_id long, embedding array<double>")
+    one = spark.createDataFrame([(100, [1.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0])], "query_id long, embedding array<double>")
     r = knn.top_k(q, one, 5).collect()
     assert len(r) == 1 and r[0].id == 100 and r[0].distance < 1e-6 and r[0].score == 1
     assert knn.top_k(q, one.limit(0), 5).collect() == []
-    twice = spark.createDataFrame([(42, [1.0, 0, 0, 0]), (42, [0.0, 1, 0, 0])], one.schema)
+    twice = spark.createDataFrame([(42, [1.0, 0.0, 0.0, 0.0]), (42, [0.0, 1.0, 0.0, 0.0])], one.schema)
     assert [x.id for x in knn.top_k(q, twice, 5).orderBy("rank").collect()] == [42, 42]
     with pytest.raises(Exception, match="dimensions"):
         knn.top_k(spark.createDataFrame([(0, [1.0])], q.schema), one, 1).collect()
