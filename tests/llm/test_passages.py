@@ -89,7 +89,9 @@ def test_passage_of_many_documents_costs_in_proportion(spark):
     p = " ".join(words(60, 5))
     rows = [(i, f"{' '.join(words(30, 1000 + i))} {p}") for i in range(400)]
     assert {r.doc_id for r in windows.repeated_passages(table(spark, rows)).collect()} == set(range(1, 400))
-    assert {(r.doc_id, r.source_doc) for r in suffixes.repeated_passages(table(spark, rows)).collect()} == {(i, 0) for i in range(1, 400)}
+    got = suffixes.repeated_passages(table(spark, rows)).collect()
+    assert {r.doc_id for r in got} == set(range(1, 400)) and all(r.source_doc < r.doc_id for r in got)  # equal segments have their first holder as source
+    assert len(got) < 1200
 
 
 @pytest.mark.parametrize("operator", [windows.repeated_passages, suffixes.repeated_passages])
