@@ -170,7 +170,7 @@ class Network:
                 dz = ((1 / (1 + np.exp(-z)) - y[i]) / len(i)).astype(np.float32)
                 df = dz[:, None] * self.w["out"][None] * (f > 0)
                 g = {"out": f.T @ dz, "b": np.array([dz.sum()]), "bias": np.zeros(cfg.filters, np.float32), "conv": np.zeros_like(self.w["conv"])}
-                demb = np.zeros_like(self.w["emb"])
+                places, parts = [], []
                 row = np.arange(len(i))[:, None]
                 for r, p in enumerate(at):  # p: place of each filter's maximum
                     d = df[:, r * cfg.filters : (r + 1) * cfg.filters]
@@ -179,8 +179,10 @@ class Network:
                     back = d[:, :, None] * self.w["conv"].T[None]
                     for t in range(cfg.width):
                         part = back[:, :, t * (cfg.embedding + 1) : t * (cfg.embedding + 1) + cfg.embedding]
-                        np.add.at(demb, x[i][row, p + t].ravel(), part.reshape(-1, cfg.embedding))
-                g["emb"] = demb
+                        places.append(x[i][row, p + t].ravel())
+                        parts.append(part.reshape(-1, cfg.embedding))
+                at_byte, flow = np.concatenate(places), np.concatenate(parts)
+                g["emb"] = np.stack([np.bincount(at_byte, flow[:, k], 256) for k in range(cfg.embedding)], 1)
                 step += 1
                 rate = 0.005 * max(0.02, 1 - step / steps)
                 for n, v in self.w.items():
