@@ -60,6 +60,25 @@ def test_every_repeat_is_found(spark, operator):
     assert total > 500 and missed == 0
 
 
+def test_exact_repeats_around_a_hot_phrase(spark):
+    hot, r, rows = words(40, 900), random.Random(3), []
+    for k in range(120):
+        w = words(60, 2000 + k) + hot + words(60, 3000 + k)
+        rows.append((k, " ".join(w if k % 3 else w + words(70, 4000 + k) + hot[:30])))
+    for k in range(50):  # rare passages that hold most of the phrase, in documents with other holders before, between and after
+        at = r.randrange(0, 16)
+        p = words(at, 5000 + k) + hot[:35] + words(15 - at, 6000 + k)
+        for i in (k + 5, k + 65):
+            rows[i] = (i, rows[i][1] + " " + " ".join(words(30, 7000 + i) + p + words(30, 8000 + i)))
+    missed, total = uncovered(rows, windows.repeated_passages(table(spark, rows)).collect())
+    assert total >= 50 and missed == 0
+
+
+def test_exact_run_beside_scattered_equal_words():
+    same = np.concatenate([np.ones(50, bool), np.tile(np.array([False] * 5 + [True]), 20)])
+    assert windows.matching_runs(same, windows.WindowConfig()) == [(0, 50)]
+
+
 def test_near_repeats_are_found_by_windows(spark):
     base = words(200, 77)
     near = list(base)
