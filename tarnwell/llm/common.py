@@ -8,10 +8,8 @@ polynomial hashes, computed for a whole batch at once with no Python loop over w
 from __future__ import annotations
 
 import contextlib
-import gc
 import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -32,38 +30,34 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where that is unset and all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tarnwell-")
         spark.conf.set("spark.checkpoint.dir", path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # with its scheme, so that other readers find the same place
     return re.sub("^file:/*", "file:///", hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()).rstrip("/")
 
 
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Frees the shuffle files of finished jobs: Spark removes them when the driver's JVM collects their handles, which a short job may never make it do.
+def durable(df: DataFrame, tag: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read back: lineage ends there and lost executors lose nothing.
 
-    Events on their way to listeners hold the last job's plan, so they go first; handles that Python lets go of in the
-    first round are collected in the second.
+    The shuffle files of the job that writes it are removed when it ends; nothing reads them again.
     """
-    for _ in range(2):
-        gc.collect()
-        with contextlib.suppress(Exception):
-            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_durable(df: DataFrame) -> None:

@@ -51,7 +51,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), every=100)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

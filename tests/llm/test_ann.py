@@ -22,22 +22,52 @@ def recall(got, x, k=10):
     return hits / (k * len(x))
 
 
+def blobs(n, dim, seed=1):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, dim)) + 2 * r.normal(size=(10, dim))[r.integers(0, 10, n)]
+    return x.astype(np.float32).astype(float)
+
+
 def test_recall_of_every_row(spark):
-    r = np.random.default_rng(1)
-    x = r.normal(size=(1500, 32)) + 2 * r.normal(size=(10, 32))[r.integers(0, 10, 1500)]
-    x = x.astype(np.float32).astype(float)
+    x = blobs(1500, 32)
+    df = spark.createDataFrame(rows_of(x), "vec_id long, embedding array<float>")
+    assert recall(A.neighbours(df).collect(), x) >= 0.9
+
+
+def test_the_tree_has_many_leaves_and_few_are_visited(spark):
+    x = blobs(4000, 8, 3)
+    t = A.Tree(x.astype(np.float32), 4000 // 32, A.AnnConfig())
+    placed = spark.createDataFrame([(int(n), i, [float(c) for c in v]) for i, (n, v) in enumerate(zip(t.assign(x.astype(np.float32)), x))], "leaf long, id long, v array<float>")
+    ids = np.arange(0, 4000, 20)
+    visits = A.calibrated(t, placed, ids, x[ids].astype(np.float32), A.AnnConfig())
+    assert t.leaves >= 120 and visits <= t.leaves // 3
     df = spark.createDataFrame(rows_of(x), "vec_id long, embedding array<float>")
-    assert recall(A.neighbours(df, A.AnnConfig(leaf=60)).collect(), x) >= 0.9
+    got = A.neighbours(df, every=20).collect()
+    d = A.squared(x, x)
+    np.fill_diagonal(d, np.inf)
+    found = {(r.vec_id, r.neighbour) for r in got}
+    true = {(int(i), int(j)) for i in ids for j in np.argsort(d[i])[:10]}
+    assert {r.vec_id for r in got} == set(ids.tolist()) and len(found & true) >= 0.93 * len(true)
+
+
+def test_brute_force_pass_is_exact(spark):
+    x = blobs(500, 6, 5)
+    placed = spark.createDataFrame([(0, i, [float(c) for c in v]) for i, v in enumerate(x)], "leaf long, id long, v array<float>").repartition(3)
+    ids = np.arange(0, 500, 50)
+    got = {(r.t, r.id) for r in A.true_neighbours(placed, ids, x[ids].astype(np.float32), 7).collect()}
+    d = A.squared(x, x)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(t, int(j)) for t, i in enumerate(ids) for j in np.argsort(d[i])[:7]}
 
 
 def test_best_bin_first_goes_from_near_to_far():
-    r = np.random.default_rng(2)
-    x = r.normal(size=(800, 4))
+    x = blobs(800, 4, 2)
     t = A.Tree(x, 30, A.AnnConfig(branch=4))
-    v = t.visits(x[:5], t.leaves)
-    assert t.leaves >= 30 and all(sorted(row.tolist()) == sorted(np.flatnonzero(t.count == 0).tolist()) for row in v)
+    v = np.array(list(t.visits(x[:5], t.leaves)))
+    assert t.leaves >= 30 and all(sorted(row.tolist()) == sorted(np.flatnonzero(t.count == 0).tolist()) == sorted(t.order()) for row in v)
     assert (v[:, 0] == t.assign(x[:5])).mean() == 1.0
-    assert A.calibrated(t, x, A.AnnConfig(recall=0.5)) <= A.calibrated(t, x, A.AnnConfig(recall=0.99)) <= t.leaves
+    size = np.where(t.count == 0, 2, 0)
+    assert [len(o) for o in t.visits(x[:3], 1, size, 11)] == [6, 6, 6]  # goes on until it has seen enough
 
 
 def test_awkward_rows(spark):
