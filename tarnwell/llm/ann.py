@@ -292,7 +292,7 @@ def neighbours(table: DataFrame, cfg: AnnConfig = AnnConfig(), key: str = "vec_i
     come = come.join(F.broadcast(spark.createDataFrame(pa.table({"cell": np.arange(len(blocks)), "blocks": blocks}))), "cell")
     order = np.array(tree.order())
     where = spark.createDataFrame(pa.table({"leaf": order, "cell": cell[order]}))
-    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of).cast("int") - 1))
     one = lambda key, of: F.pmod(F.xxhash64(key), F.col(of)).cast("int")
     points = placed.join(F.broadcast(where), "leaf").join(F.broadcast(come), "cell").select("cell", one("id", "blocks").alias("block"), each("parts").alias("part"), "leaf", "id", "v")
     asked = asked.join(F.broadcast(come), "cell").select("cell", each("blocks").alias("block"), one("qid", "parts").alias("part"), "qid", "q", "leaves")

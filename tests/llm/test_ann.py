@@ -42,7 +42,7 @@ def test_the_tree_has_many_leaves_and_few_are_visited(spark):
     visits = A.calibrated(t, placed, ids, x[ids].astype(np.float32), A.AnnConfig())
     assert t.leaves >= 120 and visits <= t.leaves // 3
     df = spark.createDataFrame(rows_of(x), "vec_id long, embedding array<float>")
-    got = A.neighbours(df, every=20).collect()
+    got = A.neighbours(df, A.AnnConfig(block=200, queries=50), every=20).collect()  # many cells, and blocks within them
     d = A.squared(x, x)
     np.fill_diagonal(d, np.inf)
     found = {(r.vec_id, r.neighbour) for r in got}
