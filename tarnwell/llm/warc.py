@@ -2,14 +2,17 @@
 
 A file starts with a skippable frame (magic 0x184D2A5D, length, the dictionary as a Zstandard frame); after it each
 record is a frame of its own, compressed with that dictionary, so that a record can be read by its place alone. The
-dictionary is built from archived records: a sample of bounded number, by order of a hash of the key. Each task
-writes its partition to one file in the shared folder, under a name of its attempt, and renames it when it is
-complete; a task that runs again writes the same file. The index has the place of every record.
+dictionary is built from a sample of the distinct archived records, by order of a hash of them, of bounded number and
+size; the records of the sample are whole. Where they are too few to train one, the dictionary is what they hold
+(Zstandard's raw content). Each task writes its partition to one file in the shared folder, under a name of its
+attempt, and renames it when it is complete; a task that runs again writes the same file. The index has the place of
+every record.
 
 Defined results: a null or empty html gives a record with an empty payload (null reads back as empty); a null url an
 empty target; a null page_id stays null in the index and has no id field in the record; each row is a record, repeated
-rows as well; an empty table gives no file and an empty index; without enough records to build a dictionary the frame
-holds an empty one. Other columns are not looked at.
+rows as well, and equal ones are told apart by their place; an empty table gives no file and an empty index. Pages
+of any length are archived whole; those of more than an eighth of sample_bytes are not used for the dictionary, and
+where no record is left for it the frame holds an empty one. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,9 +36,10 @@ from . import common as C
 
 @dataclass(frozen=True)
 class WarcConfig:
-    """sample: records that the dictionary is built from, at most; level: of compression."""
+    """sample, sample_bytes: records that the dictionary is built from, and their size, at most; level: of compression."""
 
     sample: int = 1500
+    sample_bytes: int = 16 << 20
     dictionary_bytes: int = 64 << 10
     level: int = 6
     date: str = "2024-01-01T00:00:00Z"
@@ -93,17 +97,25 @@ def _decompressor(data: bytes) -> zstd.ZstdDecompressor:
 
 
 def build_dictionary(pages: DataFrame, cfg: WarcConfig) -> bytes:
-    """A dictionary of a bounded sample of the records; empty if they are too few."""
-    h = F.xxhash64("page_id", "url")
-    total = pages.count()
-    share = min(1.0, (2 * cfg.sample + 100) / max(1, total))  # so that few rows are sorted; ties and chance leave enough
-    some = pages.select("page_id", "url", "html").where(h <= F.lit(int(min(2**63 - 1, -(2**63) + share * 2.0**64))))
-    rows = some.orderBy(h, "page_id", "url").limit(cfg.sample).collect() if cfg.sample else []
-    samples = [record(r.page_id, r.url, (r.html or "")[: 1 << 16], cfg) for r in rows]
-    try:
-        return zstd.train_dictionary(cfg.dictionary_bytes, samples, k=512, d=8, level=cfg.level).as_bytes() if len(samples) >= 8 else b""
-    except zstd.ZstdError:
+    """A dictionary of a bounded sample of the distinct records; empty without any."""
+    h, n = F.xxhash64("page_id", "url", "html"), F.coalesce(F.octet_length("html"), F.lit(0))
+    keys = pages.select(h.alias("h"), n.alias("n")).where(F.col("n") <= cfg.sample_bytes // 8).groupBy("h").agg(F.max("n").alias("n"))
+    chosen, left = [], cfg.sample_bytes
+    for r in keys.orderBy("h").limit(cfg.sample).collect():
+        left -= r["n"]
+        if left >= 0:
+            chosen.append(r["h"])
+    if not chosen:
         return b""
+    some = pages.select(h.alias("h"), F.struct("page_id", "url", "html").alias("r")).where(F.col("h").isin(chosen))
+    rows = some.groupBy("h").agg(F.first("r").alias("r")).select("h", "r.*").orderBy("h").collect()
+    samples = [record(r.page_id, r.url, r.html, cfg) for r in rows]
+    try:
+        if len(samples) >= 8:
+            return zstd.train_dictionary(cfg.dictionary_bytes, samples, k=512, d=8, level=cfg.level).as_bytes()
+    except zstd.ZstdError:  # too little to train on
+        pass
+    return b"".join(samples)[-cfg.dictionary_bytes :]
 
 
 def write(pages: DataFrame, folder: str, cfg: WarcConfig = WarcConfig()) -> DataFrame:

@@ -52,6 +52,26 @@ def test_dictionary_helps(spark, tmp_path):
     assert a < 0.7 * b
 
 
+def test_dictionary_of_a_repeated_key(spark, tmp_path):
+    html = "<html>" + "".join(f"<p>{i * i} of the one page</p>" for i in range(300)) + "</html>"
+    one = spark.range(6000).selectExpr("7L AS page_id", "'http://x/' AS url", f"'{html}' AS html")
+    data = W.build_dictionary(one, W.WarcConfig())
+    assert len(data) > 5000 and data == W.record(7, "http://x/", html, W.WarcConfig())[-(64 << 10) :]
+    many = spark.range(6000).selectExpr("7L AS page_id", "'http://x/' AS url", f"concat('{html}', id) AS html")
+    assert W.build_dictionary(many, W.WarcConfig())[:4] == b"\x37\xa4\x30\xec"
+    folder = f"file://{tmp_path}/one"
+    index = W.write(one.limit(50), folder).collect()
+    assert sum(r.length for r in index) < 50 * 200 and {r.html for r in W.read(spark, folder).collect()} == {html}
+    assert W.fetch(folder, index[-1].file, index[-1].at, index[-1].length)[1].decode() == html
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    df = spark.range(40).selectExpr("id AS page_id", "'http://x/' AS url", "repeat(cast(id AS string), 1000) AS html").union(spark.sql("SELECT 99L, 'u', repeat('x', 100000)"))
+    few = W.build_dictionary(df, W.WarcConfig(sample_bytes=20_000, dictionary_bytes=1 << 20))
+    assert 0 < len(few) < 20_000 + 40 * 400 and b"xxxxx" not in few
+    assert W.build_dictionary(df, W.WarcConfig(sample_bytes=8)) == b""
+
+
 def test_empty_and_damaged(spark, tmp_path):
     assert W.archive(pages(spark).limit(0)).collect() == []
     with pytest.raises(ValueError):
