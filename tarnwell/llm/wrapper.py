@@ -1,24 +1,28 @@
 """HTML extraction by wrapper induction over the pages of a host.
 
-Each host has a reference page: of its commonest shape (the labels of the first levels), the one of the smallest
-page_id. Every page's DOM tree is aligned with it by simple tree matching (the largest ordered, top-down mapping of
-equal labels). A text node of the reference that at least `constant` of the host's pages carry with the same text is
-template; texts in varying slots, and texts without a partner, are content. What stands in elements that HTML itself
-reserves for navigation and the like, or that aren't shown, is never content.
-
-The references are joined by host: broadcast while their size, which is counted first, is at most
-`broadcast_bytes`, else by a shuffle of the pages, whose hot hosts adaptive execution splits.
-
-Defined results: a page whose url is null or has no host, and a host's only page, have no template: all shown text
-is content. Null or empty html gives an empty content and title. Unclosed, misnested and unknown tags are tolerated;
-elements nested deeper than max_depth become children of the last level. Every input row gives one row, repeated
-rows as well; ties of shapes go to the smaller hash. Other columns are not looked at.
+The pages of a host fall into groups of one shape (the labels of the first levels); shapes with few pages join the
+host's commonest one. Each group has two reference pages, those of the smallest and the largest page_id of its shape,
+and a template of its own: every page's DOM tree is aligned with the references by simple tree matching (the largest
+ordered, top-down mapping of equal labels), and a text node of a reference that at least `constant` of the group's
+pages carry with the same text is template. Texts in varying slots, and texts without a partner, are content,
+wherever they stand; only what is never shown (head, script, style, template) isn't. Copies of a reference page are
+no evidence: they are left out of the counting, so that repeated pages don't turn each other into template.
+
+References are joined by host and shape: broadcast while their size, which is counted first, is at most
+`broadcast_bytes`, else by a shuffle of the pages, whose hot groups adaptive execution splits.
+
+Defined results: a page whose url is null or has no host, and a group's only page, have no template: all shown text
+is content. Null or empty html gives an empty content and title. Pages of any length are parsed whole; unclosed,
+misnested and unknown tags are tolerated; elements nested deeper than max_depth (as deep as browsers go) become
+children of the last level. Every input row gives one row, repeated rows as well; ties of shapes go to the smaller
+hash; an empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import html as H
 import re
+import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,10 +38,12 @@ from . import common as C
 
 @dataclass(frozen=True)
 class WrapperConfig:
+    """constant: share of a group's pages that carry a template text; group_pages: pages that a shape needs for a group of its own."""
+
     constant: float = 0.8
-    least_pages: int = 2
+    group_pages: int = 4
     shape_depth: int = 4
-    max_depth: int = 150
+    max_depth: int = 512
     broadcast_bytes: int = 32 << 20
 
 
@@ -47,7 +53,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES = {t: frozenset(x.split()) for t, x in {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "body": "head"}.items()}
 _P_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SCOPE = frozenset("html body div article section table ul ol dl td th blockquote main nav footer header aside".split())
-_SKIP = frozenset("head nav footer aside form button select".split())
+_SKIP = frozenset("head".split())  # of what is never shown, scripts, styles and templates are no nodes at all
 _INLINE = frozenset("a abbr b cite code em i q small span strong sub sup u".split())
 
 
@@ -210,82 +216,121 @@ def content_of(page: Page, template: set[int]) -> str:
     return "\n".join(lines)
 
 
-def _hosted(pages: DataFrame) -> DataFrame:
+def _hosted(pages: DataFrame, cfg: WrapperConfig) -> DataFrame:
+    """(page_id, url, html, host, shape); the shape is that of the page's tree, null without a host or html."""
+
+    @F.arrow_udf("long")
+    def shape(sources: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else Page(x, cfg).shape(cfg.shape_depth) for x in sources.to_pylist()], pa.int64())
+
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    return pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host"))
+    hosted = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host"))
+    return hosted.withColumn("shape", shape(F.when(F.col("host") != "", F.col("html"))))
 
 
-def _with(pages: DataFrame, refs: DataFrame, cfg: WrapperConfig) -> DataFrame:
-    size = refs.agg(F.sum(F.length("reference"))).first()[0] or 0
-    return pages.join(F.broadcast(refs) if size <= cfg.broadcast_bytes else refs, "host", "left")
+def _sized(df: DataFrame, n: int, cfg: WrapperConfig) -> DataFrame:
+    """df of n bytes, to be broadcast if they are few."""
+    return F.broadcast(df) if n <= cfg.broadcast_bytes else df
 
 
-def references(pages: DataFrame, cfg: WrapperConfig) -> DataFrame:
-    """(host, reference): html of each host's reference page."""
+def groups(pages: DataFrame, cfg: WrapperConfig) -> DataFrame:
+    """(host, shape, lo, hi, main): shapes that are groups, the page_ids of their references, and whether it is the host's commonest."""
+    usable = _hosted(pages, cfg).where("host <> '' AND page_id IS NOT NULL AND html IS NOT NULL")
+    by = usable.groupBy("host", "shape").agg(F.count("*").alias("n"), F.min("page_id").alias("lo"), F.max("page_id").alias("hi"))
+    by = C.durable(by, "shapes")
+    first = by.groupBy("host").agg(F.max(F.struct("n", (-F.col("shape")).alias("s"))).alias("x")).selectExpr("host", "-x.s AS shape", "true AS main")
+    both = by.join(first, ["host", "shape"], "left").select("host", "shape", "lo", "hi", F.coalesce("main", F.lit(False)).alias("main"), "n")
+    return C.durable(both.where(f"main OR n >= {cfg.group_pages}").drop("n"), "groups")
 
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield C.batch_of(host=b.column("host"), page_id=b.column("page_id"), shape=[Page(x, cfg).shape(cfg.shape_depth) for x in b.column("html").to_pylist()])
 
-    usable = _hosted(pages).where("host <> '' AND page_id IS NOT NULL AND html IS NOT NULL")
-    by = usable.select("host", "page_id", "html").mapInArrow(shapes, "host string, page_id long, shape long").groupBy("host", "shape").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id"))
-    best = by.groupBy("host").agg(F.max(F.struct("n", (-F.col("shape")).alias("s"), "page_id")).alias("x"), F.sum("n").alias("pages")).where(F.col("pages") >= cfg.least_pages).select("host", F.col("x.page_id").alias("page_id"))
-    best = C.durable(best, "references")
-    few = best.count() <= cfg.broadcast_bytes // 64
-    return usable.join(F.broadcast(best) if few else best, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("reference"))
+def _grouped(pages: DataFrame, found: DataFrame, cfg: WrapperConfig) -> DataFrame:
+    """(page_id, url, html, host, shape): the shape is the group's now."""
+    n = 64 * found.count()
+    own = found.select("host", "shape", F.lit(True).alias("own"))
+    main = found.where("main").select("host", F.col("shape").alias("main"))
+    met = _hosted(pages, cfg).join(_sized(own, n, cfg), ["host", "shape"], "left").join(_sized(main, n, cfg), "host", "left")
+    return met.select("page_id", "url", "html", "host", F.when(F.col("own"), F.col("shape")).otherwise(F.col("main")).alias("shape"))
+
+
+def references(pages: DataFrame, found: DataFrame, cfg: WrapperConfig) -> DataFrame:
+    """(host, shape, one, two): html of the two reference pages of each group; two is null if they are equal."""
+    ends = found.select("host", "shape", F.explode(F.array(F.struct(F.col("lo").alias("page_id"), F.lit(1).alias("k")), F.struct(F.col("hi").alias("page_id"), F.lit(2).alias("k")))).alias("e")).select("host", "shape", "e.*")
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    rows = pages.where("page_id IS NOT NULL AND html IS NOT NULL").select("page_id", "html", F.coalesce(host, F.lit("")).alias("host"))
+    met = rows.join(_sized(ends, 128 * found.count(), cfg), ["host", "page_id"])
+    of = lambda k: F.min(F.when(F.col("k") == k, F.col("html")))
+    both = met.groupBy("host", "shape").agg(of(1).alias("one"), of(2).alias("two"))
+    return C.durable(both.withColumn("two", F.when(F.col("two") != F.col("one"), F.col("two"))), "references")
+
+
+class References:
+    """Parsed reference pages by group, and mappings to them."""
+
+    def __init__(self, cfg: WrapperConfig) -> None:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * cfg.max_depth))
+        self.cfg, self.kept, self.matcher = cfg, {}, Matcher()
+
+    def pages(self, host: str, shape: int, sources: tuple[str | None, str | None]) -> list[Page]:
+        if (host, shape) not in self.kept:
+            if len(self.kept) > 2000:
+                self.kept.clear()
+            self.kept[host, shape] = [Page(x, self.cfg) for x in sources if x is not None]
+        return self.kept[host, shape]
 
 
-def templates(pages: DataFrame, cfg: WrapperConfig) -> DataFrame:
-    """(host, reference, constant): the nodes of the reference whose text is the same on enough pages."""
+def templates(pages: DataFrame, found: DataFrame, cfg: WrapperConfig) -> DataFrame:
+    """(host, shape, one, two, constant): the nodes of the references, 2 * node + 0 or 1, whose text is the same on enough pages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, Page] = {}
-        matcher = Matcher()
+        refs = References(cfg)
         for b in batches:
-            same: dict[tuple[str, int], int] = defaultdict(int)
-            for host, source, ref in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("reference").to_pylist(), strict=True):
-                if host not in kept:
-                    if len(kept) > 5000:
-                        kept.clear()
-                    kept[host] = Page(ref, cfg)
-                r, p = kept[host], Page(source, cfg)
-                same[host, -1] += 1
-                for i, j in matcher.mapping(r, p).items():
-                    if r.text[i] and r.text[i] == p.text[j]:
-                        same[host, i] += 1
+            same: dict[tuple[str, int, int], int] = defaultdict(int)
+            for host, shape, source, *both in zip(*(b.column(c).to_pylist() for c in ("host", "shape", "html", "one", "two")), strict=True):
+                p = None
+                for k, (r, ref) in enumerate(zip(refs.pages(host, shape, both), both, strict=False)):
+                    if source == ref:
+                        continue
+                    p = p or Page(source, cfg)
+                    same[host, shape, k - 2] += 1
+                    for i, j in refs.matcher.mapping(r, p).items():
+                        if r.text[i] and r.text[i] == p.text[j]:
+                            same[host, shape, 2 * i + k] += 1
             if same:
-                yield C.batch_of(host=[h for h, _ in same], node=[i for _, i in same], n=list(same.values()))
+                yield C.batch_of(host=[h for h, _, _ in same], shape=[s for _, s, _ in same], node=[i for _, _, i in same], n=list(same.values()))
 
-    refs = C.durable(references(pages, cfg), "references")
-    met = _with(_hosted(pages).where("html IS NOT NULL").select("host", "html"), refs, cfg).where("reference IS NOT NULL")
-    counts = met.mapInArrow(count, "host string, node long, n long").groupBy("host", "node").agg(F.sum("n").alias("n"))
-    nodes = counts.groupBy("host").agg(F.max(F.when(F.col("node") == -1, F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("node") >= 0, F.struct("node", "n"))).alias("c"))
-    constant = nodes.select("host", F.expr(f"array_sort(transform(filter(c, x -> x.n >= {cfg.constant} * pages), x -> x.node))").alias("constant"))
-    return refs.join(constant, "host")
+    refs = references(pages, found, cfg)
+    size = refs.agg(F.sum(F.length("one") + F.coalesce(F.length("two"), F.lit(0)))).first()[0] or 0
+    met = _grouped(pages, found, cfg).where("html IS NOT NULL").select("host", "shape", "html").join(_sized(refs, size, cfg), ["host", "shape"])
+    counts = met.mapInArrow(count, "host string, shape long, node long, n long").groupBy("host", "shape", "node").agg(F.sum("n").alias("n"))
+    others = lambda k: F.coalesce(F.max(F.when(F.col("node") == k - 2, F.col("n"))), F.lit(0))
+    nodes = counts.groupBy("host", "shape").agg(others(0).alias("n0"), others(1).alias("n1"), F.collect_list(F.when(F.col("node") >= 0, F.struct("node", "n"))).alias("c"))
+    # the reference itself has its texts as well
+    enough = f"x -> x.n + 1 >= {cfg.constant} * (1 + if(x.node % 2 = 0, n0, n1))"
+    constant = nodes.select("host", "shape", F.expr(f"array_sort(transform(filter(c, {enough}), x -> x.node))").alias("constant"))
+    return C.durable(refs.join(constant, ["host", "shape"]), "templates")
 
 
 def extract(pages: DataFrame, cfg: WrapperConfig = WrapperConfig()) -> DataFrame:
     """(page_id, url, host, title, content, template_nodes) of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, Page] = {}
-        matcher = Matcher()
+        refs = References(cfg)
         for b in batches:
             titles, contents, counts = [], [], []
-            for host, source, ref, constant in zip(*(b.column(c).to_pylist() for c in ("host", "html", "reference", "constant")), strict=True):
+            for host, shape, source, one, two, constant in zip(*(b.column(c).to_pylist() for c in ("host", "shape", "html", "one", "two", "constant")), strict=True):
                 p, template = Page(source, cfg), set()
-                if ref is not None:
-                    if host not in kept:
-                        if len(kept) > 5000:
-                            kept.clear()
-                        kept[host] = Page(ref, cfg)
-                    r = kept[host]
-                    m = matcher.mapping(r, p)
-                    template = {m[i] for i in constant or () if i in m and p.text[m[i]] == r.text[i]}
+                if constant:
+                    for k, r in enumerate(refs.pages(host, shape, (one, two))):
+                        mine = [n >> 1 for n in constant if n & 1 == k]
+                        m = refs.matcher.mapping(r, p) if mine else {}
+                        template.update(m[i] for i in mine if i in m and p.text[m[i]] == r.text[i])
                 titles.append(p.title)
                 contents.append(content_of(p, template))
                 counts.append(len(template))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), pa.array(titles, pa.string()), pa.array(contents, pa.string()), pa.array(counts, pa.int64())], names=["page_id", "url", "host", "title", "content", "template_nodes"])
 
-    return _with(_hosted(pages), C.durable(templates(pages, cfg), "templates"), cfg).mapInArrow(run, "page_id long, url string, host string, title string, content string, template_nodes long")
+    found = groups(pages, cfg)
+    known = templates(pages, found, cfg)
+    size = known.agg(F.sum(F.length("one") + F.coalesce(F.length("two"), F.lit(0)) + 8 * F.size("constant"))).first()[0] or 0
+    met = _grouped(pages, found, cfg).join(_sized(known, size, cfg), ["host", "shape"], "left")
+    return met.mapInArrow(run, "page_id long, url string, host string, title string, content string, template_nodes long")

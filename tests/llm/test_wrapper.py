@@ -65,6 +65,30 @@ def test_template_goes_and_content_stays(spark, broadcast):
         assert r.content.split("\n") == [f"Title {i}", *[f"Paragraph {k} of page {i} bold {i}" for k in range(1 + i % 4)]]
 
 
+def test_each_kind_of_page_has_its_template(spark):
+    articles = [(i, f"http://s.org/{i}", f"<html><body><div class=head>Site name</div><article><h1>Title {i}</h1><p>Text {i}</p></article><div class=share>Share this article</div></body></html>") for i in range(12)]
+    lists = [(100 + i, f"http://s.org/l{i}", "<html><body><div class=head>Site name</div><ul class=list>" + "".join(f"<li>Item {i} {k}" for k in range(3)) + "</ul><div class=sort>Sort by date</div></body></html>") for i in range(8)]
+    got = {r.page_id: r.content for r in W.extract(frame(spark, articles + lists)).collect()}
+    assert all(got[i] == f"Title {i}\nText {i}" for i in range(12)) and all(got[100 + i] == "\n".join(f"Item {i} {k}" for k in range(3)) for i in range(8))
+
+
+def test_a_second_reference_knows_what_the_first_lacks(spark):
+    page = lambda i: f"<html><body><div class=a><p>Text {i}</p>" + ("" if i == 0 else "<p>Subscribe now</p>") + "</div></body></html>"
+    got = {r.page_id: r.content for r in W.extract(frame(spark, [(i, f"http://s.org/{i}", page(i)) for i in range(12)])).collect()}
+    assert all(got[i] == f"Text {i}" for i in range(12))
+
+
+def test_forms_and_asides_are_judged_like_all_else(spark):
+    page = lambda i: f"<html><body><form><nav><a>Home</a></nav><div><p>Text {i}</p></div><aside>Note {i}</aside><button>Send</button></form></body></html>"
+    got = {r.page_id: r.content for r in W.extract(frame(spark, [(i, f"http://s.org/{i}", page(i)) for i in range(6)])).collect()}
+    assert all(got[i] == f"Text {i}\nNote {i}" for i in range(6))
+
+
+def test_copies_of_one_page_keep_their_content(spark):
+    rows = [(1, "http://s.org/1", "<p>same words</p>")] * 3 + [(2, "http://s.org/2", "<p>same words</p>")]
+    assert {r.content for r in W.extract(frame(spark, rows)).collect()} == {"same words"}
+
+
 def test_awkward_rows(spark):
     deep = "<div>" * 3000 + "inside" + "</div>" * 3000
     rows = site(4) + [(None, None, None), (90, "no url", "<p>a<p>b</div></p>"), (91, "http://alone.org", "<p>only page</p>"), (92, "http://example.com/x", None), (93, "http://deep.org/", deep), (94, "http://deep.org/1", "<p>" * 2000), (95, "http://e.org", ""), (None, "http://example.com/y", site(1)[0][2]), *site(1), (96, "http://big.org/", "<p>word</p>" * 30_000)]
