@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel holds at once (its temporary arrays take about 30 times as much).
@@ -60,13 +60,14 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_durable(df: DataFrame) -> None:
-    """Removes the files of a table from `durable` that no later step reads."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        with contextlib.suppress(Exception):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_durable(*tables: DataFrame) -> None:
+    """Removes the files of tables from `durable` that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            with contextlib.suppress(Exception):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -240,6 +241,13 @@ def components(edges: DataFrame) -> DataFrame:
     return e.selectExpr("u AS id", "v AS root").unionByName(e.selectExpr("v AS id", "v AS root")).distinct()
 
 
+def lists(df: DataFrame, key: str, value: Column, name: str, most: int = 2048) -> DataFrame:
+    """(key, name): the values of each key in lists of about `most` at the most, so that no key has a list without a bound."""
+    n = F.count("*").over(Window.partitionBy(key))
+    parts = df.select(key, value.alias(name), F.ceil(n / most).cast("int").alias("_of"))
+    return parts.groupBy(key, F.pmod(F.xxhash64(name), F.col("_of")).alias("_part")).agg(F.collect_list(name).alias(name)).select(key, name)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with as many underscores before it as no column of df has."""
     taken = {c.lower() for c in df.columns}

@@ -4,9 +4,10 @@ The pages of a host fall into groups of one shape (the labels of the first level
 host's commonest one. Each group has two reference pages, those of the smallest and the largest page_id of its shape,
 and a template of its own: every page's DOM tree is aligned with the references by simple tree matching (the largest
 ordered, top-down mapping of equal labels), and a text node of a reference that at least `constant` of the group's
-pages carry with the same text is template. Texts in varying slots, and texts without a partner, are content,
-wherever they stand; only what is never shown (head, script, style, template) isn't. Copies of a reference page are
-no evidence: they are left out of the counting, so that repeated pages don't turn each other into template.
+pages carry with the same text is template. Texts in varying slots, and texts without a partner, are content; only what
+is never shown (head, script, style, template), and what pages themselves mark as navigation or footer (`marked`),
+isn't. Copies of a reference page are no evidence: they are left out of the counting, so that repeated pages don't
+turn each other into template.
 
 References are joined by host and shape: broadcast while their size, which is counted first, is at most
 `broadcast_bytes`, else by a shuffle of the pages, whose hot groups adaptive execution splits.
@@ -38,12 +39,13 @@ from . import common as C
 
 @dataclass(frozen=True)
 class WrapperConfig:
-    """constant: share of a group's pages that carry a template text; group_pages: pages that a shape needs for a group of its own."""
+    """constant: share of a group's pages that carry a template text; group_pages: pages that a shape needs for a group of its own; marked: elements that are never content."""
 
     constant: float = 0.8
     group_pages: int = 4
     shape_depth: int = 4
     max_depth: int = 512
+    marked: tuple[str, ...] = ("head", "nav", "footer")
     broadcast_bytes: int = 32 << 20
 
 
@@ -53,7 +55,6 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES = {t: frozenset(x.split()) for t, x in {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "body": "head"}.items()}
 _P_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SCOPE = frozenset("html body div article section table ul ol dl td th blockquote main nav footer header aside".split())
-_SKIP = frozenset("head".split())  # of what is never shown, scripts, styles and templates are no nodes at all
 _INLINE = frozenset("a abbr b cite code em i q small span strong sub sup u".split())
 
 
@@ -89,7 +90,7 @@ class Page:
                     if k > 0 and tags[k] in ends:
                         del stack[k:], tags[k:]
                 c = _CLASS.search(attrs) if "class" in attrs.lower() else None
-                at = self._add(stack[-1], tag + "." + (c[1] or c[2] or c[3] or "").strip() if c else tag, "", self.skip[stack[-1]] or tag in _SKIP)
+                at = self._add(stack[-1], tag + "." + (c[1] or c[2] or c[3] or "").strip() if c else tag, "", self.skip[stack[-1]] or tag in cfg.marked)
                 self.block[at] = self.block[stack[-1]] if tag in _INLINE else at
                 if tag not in _VOID and not attrs.endswith("/") and len(stack) < cfg.max_depth:
                     stack.append(at)
