@@ -76,7 +76,7 @@ def test_exact_repeats_around_a_hot_phrase(spark):
 
 def test_exact_run_beside_scattered_equal_words():
     same = np.concatenate([np.ones(50, bool), np.tile(np.array([False] * 5 + [True]), 20)])
-    assert windows.matching_runs(same, windows.WindowConfig()) == [(0, 50)]
+    assert [x.tolist() for x in windows.matching_runs(same, np.array([0, len(same)]), windows.WindowConfig())] == [[0], [0], [50]]
 
 
 def test_near_repeats_are_found_by_windows(spark):
@@ -89,6 +89,58 @@ def test_near_repeats_are_found_by_windows(spark):
     assert {r.doc_id for r in got} == {2} and max(r.end_word - r.start_word for r in got) >= 150 and all(r.similarity >= 0.8 for r in got)
 
 
+def edited(rate, n, seed):
+    """Pairs of documents that share a passage of n words, of which the second has a share of rate substituted."""
+    r, rows = random.Random(seed), []
+    for k in range(150):
+        p = words(n, 10_000 + k, 50_000)
+        q = list(p)
+        for i in r.sample(range(n), round(rate * n)):
+            q[i] = f"e{r.randrange(10**9)}"
+        rows += [(2 * k, " ".join(words(80, 20_000 + k, 50_000) + p + words(80, 30_000 + k, 50_000))), (2 * k + 1, " ".join(words(80, 40_000 + k, 50_000) + q + words(80, 50_000 + k, 50_000)))]
+    return rows
+
+
+@pytest.mark.parametrize(("rate", "n", "least"), [(0.1, 60, 0.95), (0.1, 100, 0.98), (0.19, 60, 0.85), (0.19, 100, 0.95)])
+def test_recall_of_candidates(spark, rate, n, least):
+    rows = edited(rate, n, 3)
+    lines = windows.candidate_lines(windows.window_table(table(spark, rows), windows.WindowConfig()), windows.WindowConfig()).collect()
+    found = {(x.a, x.b) for x in lines if x.d == 0}
+    print(rate, n, len(found) / 150, len(lines))
+    assert found <= {(2 * k, 2 * k + 1) for k in range(150)} and len(found) >= least * 150
+
+
+def test_runs_along_many_lines():
+    r, cfg = np.random.default_rng(2), windows.WindowConfig()
+    lines = [np.concatenate([np.ones(r.integers(0, 70), bool) if r.random() < 0.3 else r.random(r.integers(1, 80)) < 0.9 for _ in range(4)]) for _ in range(60)]
+    off = np.cumsum([0, *map(len, lines)])
+    got = list(zip(*(x.tolist() for x in windows.matching_runs(np.concatenate(lines), off, cfg))))
+    want = []
+    for i, same in enumerate(lines):  # by definition
+        runs, at = [], 0
+        while at < len(same):
+            if same[at]:
+                e = at
+                while e < len(same) and same[e]:
+                    e += 1
+                runs.append((at, e))
+                at = e
+            at += 1
+        groups = []
+        for s, e in runs:
+            if groups and s - groups[-1][-1][1] <= cfg.max_gap:
+                groups[-1].append((s, e))
+            else:
+                groups.append([(s, e)])
+        for g in groups:
+            s, e = g[0][0], g[-1][1]
+            if e - s >= cfg.min_words and sum(y - x for x, y in g) >= cfg.similarity * (e - s):
+                want.append((i, s, e))
+            else:
+                want += [(i, x, y) for x, y in g if y - x >= cfg.min_words]
+    assert got == want and len(want) > 30
+
+
 def test_compact_windows_are_the_nodes_of_the_cartesian_tree():
     cfg = windows.WindowConfig(min_words=12, shingle=3, functions=2)
     h, off = C.word_hashes(pa.array([" ".join(words(n, n, 6)) for n in (3, 11, 12, 40, 200)]))
