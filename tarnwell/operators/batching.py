@@ -11,12 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import BatchConfig
+from ..sources.store import saved
 
 
 def assign(requests: DataFrame, cfg: BatchConfig = BatchConfig(), group: str = "system_message", order: tuple[str, ...] = ("req_id",)) -> DataFrame:
-    """requests with batch_no and pos, from 0, within their group in order of arrival. A null group is one of its own."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return requests.withColumn("batch_no", F.floor(rn / F.lit(cfg.max_batch_size)).cast("long")).withColumn("pos", (rn % F.lit(cfg.max_batch_size)).cast("long"))
+    """requests with batch_no and pos, from 0, within their group in order of arrival. A null group is one of its own.
+
+    A group may hold all requests, so it isn't numbered in one task: ranges of requests are numbered by themselves, and
+    each starts where the earlier ranges with its group end. The ranges are saved, so that both steps see the same.
+    """
+    part = saved(requests.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    each = part.groupBy(F.col(group).alias("_group"), "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = each.select("_group", F.col("_part").alias("_of"), before.alias("_before"))  # a row for each range and each group's seam
+    rows = part.withColumn("_rn", F.row_number().over(Window.partitionBy("_part", group).orderBy(*order)) - 1)
+    met = rows.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    rn, size = F.col("_before") + F.col("_rn"), F.lit(cfg.max_batch_size)
+    return met.select(*requests.columns, F.floor(rn / size).cast("long").alias("batch_no"), (rn % size).cast("long").alias("pos"))
 
 
 def stats(assigned: DataFrame, group: str = "system_message") -> DataFrame:
@@ -46,7 +57,8 @@ def complete(requests: DataFrame, llm: Callable[[str, str], str], cfg: BatchConf
     """requests with answer and error, one of which is null: a call that fails fails alone.
 
     The requests are spread over max_concurrent_llm_calls tasks by system message and batch, so that those of a batch
-    run one after another on one connection; each task has its share of the rate.
+    run one after another on one connection; each task has its share of the rate and of the burst, so that all
+    together never exceed either (but a task can always make one call).
     """
     tasks = cfg.max_concurrent_llm_calls
     spread = requests.repartition(tasks, *[c for c in ("system_message", "batch_no") if c in requests.columns])

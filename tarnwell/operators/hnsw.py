@@ -1,27 +1,35 @@
 """Layered proximity graphs: one for each shard, built and searched in the shard's task, results merged.
 
-A shard's graph is small enough for one task; more data means more shards, not a larger graph. Search goes to all
-shards, so its recall is at least that of one graph of the same beam.
+A shard's graph is small enough for one task; more data means more shards, not a larger graph. Graphs are built once
+and stand in a table, a row each: build() makes it, store.saved() or a write keeps it, add() extends it by shards of
+new vectors, and find() searches it without building anything. Search goes to all shards, so its recall is at least
+that of one graph of the same beam.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import IndexConfig
 from ..functions import distance as D
+from ..sources.store import saved
+from .knn import blocks, diverse, usable
 
 
-def level(key: Column, m: int, seed: int = 42) -> Column:
+def level(key: Column | str, m: int, seed: int = 42) -> Column:
     """Level of a node, at most 15; P(level >= l) = m ** -l. From a hash, so that it is the same each time."""
     if m < 2:
         raise ValueError("m must be at least 2")
-    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    digest = F.md5(F.concat((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     return F.least(F.floor(-F.log(u) / F.lit(float(np.log(m)))), F.lit(15)).cast("tinyint")
 
 
@@ -73,8 +81,8 @@ class Graph:
                             heapq.heappop(out)
         return sorted((-d, v) for d, v in out)
 
-    def insert(self, key: int, v: np.ndarray) -> None:
-        """Adds a vector; equal keys are both kept."""
+    def insert(self, key: int, v: np.ndarray, top: int | None = None) -> None:
+        """Adds a vector on the levels up to top (None: at random); equal keys are both kept."""
         if len(v) != self.cfg.dim:
             raise ValueError(f"expected {self.cfg.dim} dimensions, got {len(v)}")
         if self.n == len(self.x):
@@ -82,7 +90,7 @@ class Graph:
         at, self.n = self.n, self.n + 1
         self.x[at] = v
         self.ids.append(key)
-        top = min(int(-np.log(1 - self.rng.random()) / np.log(self.cfg.m)), 15)
+        top = min(int(-np.log(1 - self.rng.random()) / np.log(self.cfg.m)), 15) if top is None else top
         start, high = self.entry, len(self.layers) - 1
         while len(self.layers) <= top:
             self.layers.append({})
@@ -96,8 +104,6 @@ class Graph:
         for layer in range(min(top, high), -1, -1):
             most = self.cfg.m_max0 if layer == 0 else self.cfg.m
             near = self._beam(v, start, self.cfg.ef_construct, layer)
-            from .knn import diverse
-
             rows = [r for _, r in near]
             chosen = diverse(self.x[rows], np.array([d for d, _ in near]), most, self.cfg.metric)
             for i in chosen:
@@ -126,25 +132,73 @@ class Graph:
         return sorted((d, self.ids[r]) for d, r in near)[:k]
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, cfg: IndexConfig, *, shards: int = 8, ef: int = 0, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", qvector: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, distance, score) by graphs of `shards` shards."""
-    own = vectors.select(F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), F.col(key).alias("id"), F.col(vector).alias("v"))
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.col(qkey).alias("query_id"), F.col(qvector).alias("q"))
-
-    def run(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def to_bytes(self) -> bytes:
+        """The whole graph, for from_bytes()."""
+        parts = {"x": self.x[: self.n], "ids": np.array(self.ids, np.int64), "entry": np.array([self.entry])}
+        for i, layer in enumerate(self.layers):
+            parts[f"nodes{i}"] = np.fromiter(layer, np.int32, len(layer))
+            parts[f"counts{i}"] = np.fromiter(map(len, layer.values()), np.int32, len(layer))
+            parts[f"to{i}"] = np.fromiter((r for near in layer.values() for r in near), np.int32)
+        out = io.BytesIO()
+        np.savez(out, **parts)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes, cfg: IndexConfig) -> Graph:
+        parts = np.load(io.BytesIO(data))
+        g = cls(cfg)
+        g.x, g.ids, g.n, g.entry = parts["x"], parts["ids"].tolist(), len(parts["ids"]), int(parts["entry"][0])
+        while f"nodes{len(g.layers)}" in parts:
+            i = len(g.layers)
+            ends, to = np.cumsum(parts[f"counts{i}"]).tolist(), parts[f"to{i}"].tolist()
+            g.layers.append({n: to[a:b] for n, a, b in zip(parts[f"nodes{i}"].tolist(), [0, *ends], ends, strict=False)})
+        return g
+
+
+def build(vectors: DataFrame, cfg: IndexConfig, *, per_shard: int = 20_000, first: int = 0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(shard, n, graph): a graph for each `per_shard` vectors or less on average, numbered from first. Rows with a null id or without a usable vector are left out."""
+    some = vectors.where(F.col(key).isNotNull() & usable(vector))
+    shards = max(1, -(-some.count() // per_shard))
+    own = some.select((F.pmod(F.xxhash64(key), F.lit(shards)) + first).alias("shard"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), level(F.col(key), cfg.m, cfg.seed).alias("top"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         g = Graph(cfg)
-        for i, v in right.sort_values("id")[["id", "v"]].itertuples(index=False):
-            g.insert(int(i), np.asarray(v, float))
-        rows = [(q, i, d) for q, v in left[["query_id", "q"]].itertuples(index=False) for d, i in g.search(np.asarray(v, float), k, ef)]
-        return pd.DataFrame(rows, columns=["query_id", "id", "distance"]).astype({"query_id": "int64", "id": "int64", "distance": "float64"})
-
-    near = asked.groupBy("shard").cogroup(own.groupBy("shard")).applyInPandas(run, "query_id long, id long, distance double")
+        for i, v, top in rows.sort_values("id")[["id", "v", "top"]].itertuples(index=False):
+            g.insert(int(i), np.asarray(v, float), int(top))
+        return pd.DataFrame({"shard": [key[0]], "n": [len(g)], "graph": [g.to_bytes()]})
+
+    return own.groupBy("shard").applyInPandas(run, "shard long, n long, graph binary")
+
+
+def add(index: DataFrame, vectors: DataFrame, cfg: IndexConfig, **options) -> DataFrame:
+    """The index with shards of further vectors; those it has stay as they are."""
+    last = index.agg(F.max("shard")).first()[0]
+    return index.unionByName(build(vectors, cfg, first=0 if last is None else last + 1, **options))
+
+
+def find(queries: DataFrame, index: DataFrame, k: int, cfg: IndexConfig, *, ef: int = 0, qkey: str = "query_id", qvector: str = "embedding", block: int = 2048) -> DataFrame:
+    """(query_id, rank, id, distance, score) by the graphs of build()'s table. Queries travel as matrices of at most `block`; a vector of another length than the index's is an error."""
+    asked = blocks(queries, qkey, qvector, rows=block).select("ids", "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, g = None, None
+        for b in batches:
+            for i in range(b.num_rows):
+                if b.column("shard")[i].as_py() != shard:
+                    shard, g = b.column("shard")[i].as_py(), Graph.from_bytes(b.column("graph")[i].as_py(), cfg)
+                ids = b.column("ids")[i].as_py()
+                q = np.frombuffer(b.column("data")[i].as_py()).reshape(len(ids), -1)
+                if q.shape[1] != cfg.dim:
+                    raise ValueError(f"expected {cfg.dim} dimensions, got {q.shape[1]}")
+                rows = [(n, key, d) for n, v in zip(ids, q, strict=True) for d, key in g.search(v, k, ef)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["query_id", "id", "distance"])
+
+    near = index.select("shard", "graph").crossJoin(asked).mapInArrow(run, "query_id long, id long, distance double")  # every query asks every shard
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance", D.score(F.col("distance")).alias("score"))
 
 
-def build_stats(vectors: DataFrame, cfg: IndexConfig, shards: int, key: str = "vec_id") -> DataFrame:
-    """(level, nodes) by the levels of level()."""
-    return vectors.select(level(F.col(key), cfg.m, cfg.seed).alias("level")).groupBy("level").agg(F.count("*").alias("nodes"))
-
-
+def search(queries: DataFrame, vectors: DataFrame, k: int, cfg: IndexConfig, *, per_shard: int = 20_000, ef: int = 0, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", qvector: str = "embedding") -> DataFrame:
+    """find() on an index that is built, and saved, for it."""
+    return find(queries, saved(build(vectors, cfg, per_shard=per_shard, key=key, vector=vector)), k, cfg, ef=ef, qkey=qkey, qvector=qvector)

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
+from . import knn
 from .knn import _matrix
 
 
@@ -22,10 +22,14 @@ class Cells:
     centres: np.ndarray
 
     @classmethod
-    def fit(cls, vectors: DataFrame, cells: int, *, vector: str = "embedding", seed: int = 42, sample: int = 50_000, rounds: int = 15) -> Cells:
-        """By k-means on at most `sample` vectors, taken by a hash: of bounded size, so that the driver does it at once."""
-        drawn = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(sample).toArrow()["v"]
-        x = _matrix(drawn.combine_chunks())
+    def fit(cls, vectors: DataFrame, cells: int | None = None, *, vector: str = "embedding", seed: int = 42, sample: int = 50_000, rounds: int = 15) -> Cells:
+        """By k-means on at most `sample` vectors, taken by a hash: of bounded size, so that the driver does it at once.
+        cells: None for the square root of the number of vectors, and no more than one for 8 of the sample."""
+        some = vectors.where(knn.usable(vector)).select(F.col(vector).cast("array<double>").alias("v"))
+        if cells is None:
+            n = some.count()
+            cells = max(1, min(int(n**0.5), min(n, sample) // 8))
+        x = _matrix(some.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(sample).toArrow()["v"].combine_chunks())
         if not len(x):
             raise ValueError("there are no vectors to fit cells on")
         rng = np.random.default_rng(seed)
@@ -41,46 +45,60 @@ class Cells:
         return cls(centres)
 
     def assign(self, vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-        """vectors with the column cell."""
+        """vectors with the column cell; null for a vector that isn't usable."""
         centres = self.centres
 
         @F.arrow_udf("int")
         def nearest(v: pa.Array) -> pa.Array:
-            return pa.array(D.pairwise(_matrix(v), centres, "l2").argmin(1).astype(np.int32) if len(v) else np.zeros(0, np.int32))
+            there = np.asarray(v.is_valid())
+            out = np.zeros(len(v), np.int32)
+            if there.any():
+                x = _matrix(v.filter(pa.array(there)))
+                if x.shape[1] != centres.shape[1]:
+                    raise ValueError(f"vectors of {x.shape[1]} and {centres.shape[1]} dimensions")
+                out[there] = D.pairwise(x, centres, "l2").argmin(1)
+            return pa.array(out, mask=~there)
 
-        return vectors.withColumn("cell", nearest(vector))
+        return vectors.withColumn("cell", nearest(F.when(knn.usable(vector), F.col(vector).cast("array<double>"))))
 
+    def table(self, spark) -> DataFrame:
+        """(cell, centre), to be saved with an index."""
+        return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(self.centres)], "cell int, centre array<double>")
 
-def search(queries: DataFrame, indexed: DataFrame, cells: Cells, k: int, nprobe: int, metric: str = "l2", *, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", qvector: str = "embedding") -> DataFrame:
+    @classmethod
+    def of(cls, table: DataFrame) -> Cells:
+        """The cells of table()."""
+        rows = table.orderBy("cell").toArrow()
+        return cls(_matrix(rows["centre"].combine_chunks()))
+
+
+def search(queries: DataFrame, indexed: DataFrame, cells: Cells, k: int, nprobe: int, metric: str = "l2", *, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", qvector: str = "embedding", skip_self: bool = False) -> DataFrame:
     """(query_id, rank, id, distance, score): the k nearest in the nprobe nearest cells. indexed has the column cell.
 
-    The cells read with a larger nprobe include those of a smaller one, so that more probes never lose a result.
+    Queries and vectors of a cell are packed into matrices of a bounded size, which meet by cell: a cell of any size
+    is many of them. The cells read with a larger nprobe include those of a smaller one, so that more probes never
+    lose a result. Rows with a null id or without a usable vector are left out.
     """
     centres, n = cells.centres, min(nprobe, len(cells.centres))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                near = np.argsort(D.pairwise(_matrix(b.column("q")), centres, "l2"), axis=1, kind="stable")[:, :n].astype(np.int32)
-                q = pa.array(np.repeat(np.arange(b.num_rows), n))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), b.column("query_id").take(q), b.column("q").take(q)], names=["cell", "query_id", "q"])
-
-    def meet(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "distance": np.zeros(0)})
-        if not len(left) or not len(right):
-            return empty
-        x, ids, out = np.stack(right["v"].to_numpy()).astype(float), right["id"].to_numpy(), []
-        for s in range(0, len(left), 512):
-            q, qid = np.stack(left["q"].to_numpy()[s : s + 512]).astype(float), left["query_id"].to_numpy()[s : s + 512]
-            d = D.pairwise(q, x, metric)
-            m = min(k, len(ids))
-            kth = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
-            i, j = np.nonzero(d <= kth + 1e-9 * (1 + np.abs(kth)))
-            out.append(pd.DataFrame({"query_id": qid[i], "id": ids[j], "distance": D.exact(q[i], x[j], metric)}))
-        return pd.concat(out)
-
-    asked = queries.select(F.col(qkey).cast("long").alias("query_id"), F.col(qvector).cast("array<double>").alias("q")).mapInArrow(probe, "cell int, query_id long, q array<double>")
-    own = indexed.select("cell", F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    near = asked.groupBy("cell").cogroup(own.groupBy("cell")).applyInPandas(meet, "query_id long, id long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance", D.score(F.col("distance")).alias("score"))
+                x = _matrix(b.column("q"))
+                if x.shape[1] != centres.shape[1]:
+                    raise ValueError(f"vectors of {x.shape[1]} and {centres.shape[1]} dimensions")
+                near = np.argsort(D.pairwise(x, centres, "l2"), axis=1, kind="stable")[:, :n].astype(np.int32)
+                order = np.argsort(near.ravel(), kind="stable")  # queries of a cell side by side, for few and large matrices
+                q = pa.array(np.repeat(np.arange(b.num_rows), n)[order])
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()[order]), b.column("query_id").take(q), b.column("q").take(q)], names=["cell", "query_id", "q"])
+
+    some = queries.where(F.col(qkey).isNotNull() & knn.usable(qvector))
+    asked = some.select(F.col(qkey).cast("long").alias("query_id"), F.col(qvector).cast("array<double>").alias("q")).mapInArrow(probe, "cell int, query_id long, q array<double>")
+    own = indexed.where("cell IS NOT NULL").repartition("cell")
+    return knn.top_k(asked.repartition("cell"), own, k, metric, key=key, vector=vector, qkey="query_id", qvector="q", skip_self=skip_self, by="cell")
+
+
+def graph(vectors: DataFrame, m: int, cells: Cells, nprobe: int, metric: str = "l2", *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(src, rank, dst, distance): edges to the m nearest others in the nprobe nearest cells; knn.heuristic_graph() and knn.reverse_connect() take them."""
+    near = search(vectors, cells.assign(vectors, vector), cells, m, nprobe, metric, key=key, vector=vector, qkey=key, qvector=vector, skip_self=True)
+    return near.selectExpr("query_id AS src", "rank", "id AS dst", "distance")

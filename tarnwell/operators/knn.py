@@ -7,16 +7,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a column without nulls as rows; ValueError if their lengths differ."""
+    n = pc.min_max(pc.list_value_length(column)).as_py() if len(column) else {"min": 0, "max": 0}
+    if n["min"] != n["max"] or (len(column) and not n["min"]):
+        raise ValueError(f"vectors of {n['min']} and {n['max']} dimensions")
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
+def usable(vector: str) -> Column:
+    """Whether a vector can be compared: not null, and without elements that are null or no number. Others are left out of searches."""
+    return F.col(vector).isNotNull() & ~F.coalesce(F.exists(vector, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+
+
 def check_dim(df: DataFrame, vector: str, dim: int) -> DataFrame:
     """df; a vector of another length is an error when it is read."""
     ok = F.assert_true(F.size(vector) == dim, F.concat(F.lit(f"expected {dim} dimensions, got "), F.size(vector).cast("string")))
@@ -36,8 +45,8 @@ def blocks(df: DataFrame, key: str, vector: str, by: str | None = None, rows: in
                     yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([_matrix(part.column(1)).tobytes()], pa.binary()), pa.array([value.as_py()], pa.string())], names=["ids", "data", "by"])
 
     whole = F.col(by).cast("string") if by else F.lit("")
-    usable = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), whole.alias("by"))
-    return usable.where("by IS NOT NULL").mapInArrow(pack, "ids array<long>, data binary, by string")
+    some = df.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), whole.alias("by"))
+    return some.where("by IS NOT NULL").mapInArrow(pack, "ids array<long>, data binary, by string")
 
 
 def _met(queries: DataFrame, vectors: DataFrame, key: str, vector: str, qkey: str, qvector: str, by: str | None = None) -> DataFrame:
@@ -58,7 +67,8 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", *, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", qvector: str = "embedding", skip_self: bool = False, by: str | None = None) -> DataFrame:
     """(query_id, rank, id, distance, score): the k nearest vectors of every query, ties by id; with by, among those
-    of the same value in that column of both sides.
+    of the same value in that column of both sides. Rows with a null id or without a usable() vector are left out;
+    vectors of different lengths are an error.
 
     Matrices of queries meet matrices of vectors; each pair keeps its k best, and a window keeps those of a query.
     Whether the queries are broadcast is the planner's choice, by their size.
@@ -92,18 +102,20 @@ def pairs(queries: DataFrame, vectors: DataFrame, metric: str, *, key: str = "ve
 
 
 def graph(vectors: DataFrame, m: int, metric: str = "l2", *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(src, rank, dst, distance): edges to the m nearest others."""
+    """(src, rank, dst, distance): edges to the m nearest others, by comparing all pairs; ivf.graph() compares those of near cells."""
     near = top_k(vectors, vectors, m, metric, key=key, vector=vector, qkey=key, qvector=vector, skip_self=True)
     return near.selectExpr("query_id AS src", "rank", "id AS dst", "distance")
 
 
-def heuristic_graph(vectors: DataFrame, m: int, candidates: int, metric: str = "l2", *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def heuristic_graph(vectors: DataFrame, m: int, candidates: int, metric: str = "l2", *, key: str = "vec_id", vector: str = "embedding", near: DataFrame | None = None) -> DataFrame:
     """(src, rank, dst, distance): diverse edges.
 
     From the nearest on, a candidate stays if no chosen one is nearer to it than the source is; what is left over
-    fills up to m. The order matters, so each source's candidates go through one function.
+    fills up to m. The order matters, so each source's candidates go through one function. near: edges like those of
+    graph() or ivf.graph() to choose from; None: the nearest of all pairs.
     """
-    near = top_k(vectors, vectors, candidates, metric, key=key, vector=vector, qkey=key, qvector=vector, skip_self=True)
+    near = graph(vectors, candidates, metric, key=key, vector=vector) if near is None else near
+    near = near.select(F.col("src").alias("query_id"), "rank", F.col("dst").alias("id"), "distance")
     with_vectors = near.join(vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")), "id")
     lists = with_vectors.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "distance", "v"))).alias("c"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
 from ..functions.text import fill_template, general, keyword_hits
+from ..sources.store import saved
 from . import knn
 
 Embed = Callable[[Column], Column]
@@ -20,7 +22,11 @@ def candidates(queries: DataFrame, chunks: DataFrame, embed: Embed, cfg: Pipelin
     queries: (query_id, query); chunks: (chunk_id, text, embedding). A result without a chunk has the text ''.
     """
     asked = queries.where("query <> ''").withColumn("embedding", embed(F.col("query")))
-    near = knn.top_k(asked, chunks.select("chunk_id", "embedding"), cfg.top_k, metric, key="chunk_id")
+    return _texts(knn.top_k(asked, chunks.select("chunk_id", "embedding"), cfg.top_k, metric, key="chunk_id"), queries, chunks)
+
+
+def _texts(near: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Results with the texts of their chunks and queries."""
     texts = chunks.select(F.col("chunk_id").alias("id"), "text")
     found = near.join(texts, "id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     return found.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "rank", "id", "distance", "score", "text")
@@ -59,6 +65,30 @@ def query(queries: DataFrame, chunks: DataFrame, embed: Embed, generate: Callabl
     return augment(queries, retrieve(queries, chunks, embed, cfg, metric), cfg).withColumn("answer", generate(F.col("prompt")))
 
 
+def timed_query(queries: DataFrame, chunks: DataFrame, embed: Embed, generate: Callable[[Column], Column] | None = None, cfg: PipelineConfig = PipelineConfig(), metric: str = "l2") -> tuple[DataFrame, DataFrame]:
+    """(result, timings): query()'s result, or retrieve()'s without generate, and how long its stages took.
+
+    Timings are one row in microseconds for the whole batch: embed_us, search_us, generate_us, total_us, overhead_us
+    (the rest: reranking and prompts), queries. To be timed, each stage is saved before the next begins.
+    """
+    spark, marks = queries.sparkSession, [time.perf_counter()]
+
+    def stage(df: DataFrame) -> DataFrame:
+        df = saved(df)
+        marks.append(time.perf_counter())
+        return df
+
+    asked = stage(queries.where("query <> ''").withColumn("embedding", embed(F.col("query"))))
+    near = stage(_texts(knn.top_k(asked, chunks.select("chunk_id", "embedding"), cfg.top_k, metric, key="chunk_id"), queries, chunks))
+    out = stage(rerank(near, cfg) if generate is None else augment(queries, rerank(near, cfg), cfg))
+    if generate is not None:
+        out = stage(out.withColumn("answer", generate(F.col("prompt"))))
+    took = [int(1e6 * (b - a)) for a, b in zip(marks, marks[1:], strict=False)]
+    made, total = took[3] if generate is not None else 0, int(1e6 * (marks[-1] - marks[0]))
+    row = (took[0], took[1], made, total, total - took[0] - took[1] - made, queries.count())
+    return out, spark.createDataFrame([row], "embed_us long, search_us long, generate_us long, total_us long, overhead_us long, queries long")
+
+
 def tool_output(queries: DataFrame, results: DataFrame, top_k: int = 5) -> DataFrame:
     """(query_id, output): what an agent's search tool shows of the first top_k results; scores with six significant digits."""
     of = results.where(F.col("rank") <= top_k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "text"))).alias("r"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BatchConfig, ChunkConfig, IndexConfig, PipelineConfig
+from ..config import BatchConfig, ChunkConfig, EngineConfig, IndexConfig, PipelineConfig
 from ..functions import distance as D
 from ..functions import hashing, text
 from ..operators import batching, hnsw, ivf, knn, metrics, prefix, rag
-from ..sources import ingest, store
+from ..sources import embedding_api, ingest, store
 from ..streaming import batches as streaming
 from . import sql
 
@@ -101,15 +102,34 @@ def hnsw_levels(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).select("vec_id", hnsw.level(F.col("vec_id"), 32).alias("level"))
 
 
+GRAPH = IndexConfig(dim=DIM, m=16, m_max0=32, ef_construct=64, ef_search=64)
+
+
+def _graphs(spark: SparkSession, d: str) -> DataFrame:
+    """The standing index of graphs."""
+    v = _vectors(spark, d)
+    return store.standing(spark, "graphs", v, lambda: hnsw.build(v, GRAPH))
+
+
 def hnsw_top10(spark: SparkSession, d: str) -> DataFrame:
-    cfg = IndexConfig(dim=DIM, m=16, m_max0=32, ef_construct=64, ef_search=64)
-    return rounded(hnsw.search(_queries(spark, d), _vectors(spark, d), 10, cfg), "distance", "score")
+    return rounded(hnsw.find(_queries(spark, d), _graphs(spark, d), 10, GRAPH), "distance", "score")
 
 
-def _ivf(spark: SparkSession, d: str) -> DataFrame:
+def hnsw_recall(spark: SparkSession, d: str) -> DataFrame:
+    return knn.recall(hnsw.find(_queries(spark, d), _graphs(spark, d), 10, GRAPH), knn.top_k(_queries(spark, d), _vectors(spark, d), 10))
+
+
+def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, ivf.Cells]:
+    """The standing index by cells: vectors with their cell, and the cells."""
     v = _vectors(spark, d)
-    cells = ivf.Cells.fit(v, 16)
-    return ivf.search(_queries(spark, d), cells.assign(v), cells, 10, 11)
+    table = store.standing(spark, "cells", v, lambda: ivf.Cells.fit(v).table(spark))
+    cells = ivf.Cells.of(table)
+    return store.standing(spark, "indexed", v, lambda: cells.assign(v)), cells
+
+
+def _ivf(spark: SparkSession, d: str) -> DataFrame:
+    indexed, cells = _cells(spark, d)
+    return ivf.search(_queries(spark, d), indexed, cells, 10, -(-6 * len(cells.centres) // 10))
 
 
 def ivf_top10(spark: SparkSession, d: str) -> DataFrame:
@@ -120,6 +140,36 @@ def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
     return knn.recall(_ivf(spark, d), knn.top_k(_queries(spark, d), _vectors(spark, d), 10))
 
 
+def ivf_all_cells(spark: SparkSession, d: str) -> DataFrame:
+    """A search that reads every cell finds what comparing all pairs finds."""
+    indexed, cells = _cells(spark, d)
+    return rounded(ivf.search(_queries(spark, d), indexed, cells, 10, len(cells.centres)), "distance", "score")
+
+
+def knn_graph_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Edges from near cells, without comparing all pairs."""
+    _, cells = _cells(spark, d)
+    return rounded(ivf.graph(_vectors(spark, d), 8, cells, -(-6 * len(cells.centres) // 10)), "distance")
+
+
+def random_unit_norms(spark: SparkSession, d: str) -> DataFrame:
+    v = D.random_units(spark, 1000, DIM)
+    return rounded(v.select("vec_id", F.size("embedding").alias("n"), D.norm(F.col("embedding")).alias("norm")), "norm")
+
+
+def dimension_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of every vector its number of dimensions, once the check has let all of them through."""
+    return knn.check_dim(_vectors(spark, d), "embedding", DIM).select("vec_id", F.size("embedding").alias("n"))
+
+
+def vector_of_id(spark: SparkSession, d: str) -> DataFrame:
+    """get_vector() of the largest id."""
+    v = _vectors(spark, d)
+    largest = v.agg(F.max("vec_id")).first()[0]
+    x = store.get_vector(v, largest)
+    return rounded(spark.createDataFrame([(largest, i, float(c)) for i, c in enumerate(x)], "vec_id long, i int, x double"), "x")
+
+
 def chunk_default(spark: SparkSession, d: str) -> DataFrame:
     return text.chunks(table(spark, d, "documents"))
 
@@ -148,7 +198,9 @@ def fnv1a_prefix_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.chunk_table(table(spark, d, "documents"), _embed)
+    """The standing index of the documents: cut and embedded once."""
+    docs = table(spark, d, "documents")
+    return store.standing(spark, "chunks", docs, lambda: ingest.chunk_table(docs, _embed))
 
 
 def _embed(c: Column) -> Column:
@@ -192,6 +244,76 @@ def rag_query_stub(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "answer", F.size("sources").alias("n_sources"))
 
 
+def rag_timings(spark: SparkSession, d: str) -> DataFrame:
+    """Stage times of retrieval and of the whole pipeline."""
+    answer = lambda p: F.concat(F.lit("prompt of "), F.length(p).cast("string"), F.lit(" characters"))
+    _, retrieval = rag.timed_query(_asked(spark, d), _chunks(spark, d), _embed)
+    _, whole = rag.timed_query(_asked(spark, d), _chunks(spark, d), _embed, answer)
+    return retrieval.withColumn("what", F.lit("retrieve")).unionByName(whole.withColumn("what", F.lit("query")))
+
+
+def json_responses(spark: SparkSession, d: str) -> DataFrame:
+    """What a server answers, read again: the ids of every query's results."""
+    body = rag.response(_asked(spark, d), _retrieved(spark, d))
+    r = F.from_json("body", "results array<struct<id: bigint, score: double, distance: double, text: string>>")["results"]
+    return body.select("query_id", F.size(r).alias("n"), F.array_join(F.transform(r, lambda x: x["id"].cast("string")), ",").alias("ids"), F.array_join(F.transform(r, lambda x: F.md5(x["text"].cast("binary"))), ",").alias("texts"))
+
+
+def knowledge_search(spark: SparkSession, d: str) -> DataFrame:
+    """The agent's search tool, called with the first of the queries."""
+    q = _asked(spark, d).where("query <> ''").orderBy("query_id").first()
+    tool = rag.search_tool(_chunks(spark, d), _embed)
+    return spark.createDataFrame([(q.query_id, tool(q["query"]))], "query_id long, output string")
+
+
+def single_document_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of one document, the one with the largest id."""
+    last = table(spark, d, "documents").orderBy(F.desc("doc_id")).first()
+    return text.chunks(ingest.single(spark, last.doc_id, last.text))
+
+
+def documents_json_chunked(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies that bring their own chunk sizes."""
+    doc = F.struct(F.col("doc_id").cast("string").alias("id"), "text")
+    body = table(spark, d, "documents").select(F.to_json(F.struct(F.array(doc).alias("documents"), F.lit(64).alias("chunk_size"), F.lit(8).alias("chunk_overlap"))).alias("body"))
+    return text.chunks(ingest.json_documents(body), sizes=("chunk_size", "chunk_overlap"))
+
+
+def ingest_timed(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of an ingestion into an index, and how long it took."""
+    return ingest.index(table(spark, d, "documents"), store.folder(spark), _embed)
+
+
+def directory_source(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's texts, written to a folder as files and read as documents."""
+    path = store.folder(spark)
+    table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[\\r\\n]", " ").alias("text")).repartition(1).write.partitionBy("item_id").option("lineSep", "\n").text(path)
+    docs = ingest.directory(spark, path).where("doc_id LIKE '%/item_id=%'")
+    return docs.select(F.regexp_extract("doc_id", r"item_id=([0-9]+)/", 1).cast("long").alias("item_id"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
+def config_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of a JSON body with flat names: known ones are taken, unknown ones ignored, missing ones keep their default."""
+    cfg = EngineConfig.of(json.loads('{"hnsw_m": 24, "embed_dim": 64, "chunk_size": 128, "chunk_overlap": 16, "top_n": 4, "enable_rerank": true, "llm_rate_limit": 30.5, "embed_model": "own", "no_such_key": 1}'))
+    rows = [("m", cfg.index.m), ("dim", cfg.index.dim), ("ef_search", cfg.index.ef_search), ("chunk_size", cfg.chunk.chunk_size), ("chunk_overlap", cfg.chunk.chunk_overlap), ("top_k", cfg.pipeline.top_k), ("top_n", cfg.pipeline.top_n), ("enable_rerank", cfg.pipeline.enable_rerank), ("llm_rate_limit", cfg.batch.llm_rate_limit), ("max_batch_size", cfg.batch.max_batch_size), ("embed_model", cfg.embed_model)]
+    return spark.createDataFrame([(k, str(v)) for k, v in rows], "name string, value string")
+
+
+def api_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """The embedding service's client against a stand-in for the service, whose vectors tell lengths."""
+
+    def connect(base: str):
+        def post(path: str, body: bytes, headers: dict[str, str]) -> tuple[int, bytes]:
+            texts = json.loads(body)["input"]
+            texts = [texts] if isinstance(texts, str) else texts
+            return 200, json.dumps({"data": [{"embedding": [len(t), t.count("e"), 0.5]} for t in texts]}).encode()
+
+        return post, "/v1"
+
+    v = embedding_api.embed(table(spark, d, "benchmark"), "http://localhost/v1", "stand-in", connect=connect)
+    return v.select("item_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+
+
 def _prefixes(spark: SparkSession, d: str) -> DataFrame:
     """The distinct beginnings of 1, 2, 3, 5 and 8 characters of the benchmark's texts, with ids."""
     cut = F.explode(F.transform(F.array(*map(F.lit, (1, 2, 3, 5, 8))), lambda n: F.substring(F.col("text"), F.lit(1), n)))
@@ -211,6 +333,13 @@ def prefix_node_hits(spark: SparkSession, d: str) -> DataFrame:
     return prefix.node_hits(table(spark, d, "documents"), prefix.latest(_prefixes(spark, d)), "doc_id", "text").select("prefix", "hits")
 
 
+def prefix_inserts(spark: SparkSession, d: str) -> DataFrame:
+    """Prefixes written again and again: the last id of each stands, and every write counts."""
+    cut = F.explode(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(F.col("text"), F.lit(1), n)))
+    writes = table(spark, d, "benchmark").select("item_id", cut.alias("prefix")).withColumn("cache_id", F.col("item_id") + 1)
+    return prefix.latest(writes, "item_id").crossJoin(prefix.size(writes.where("prefix <> ''")))
+
+
 def _requests(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     system = c.where("role = 'system'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("system_message"))
@@ -238,6 +367,21 @@ def complete_requests(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "turn", "answer", "error")
 
 
+def complete_limited(spark: SparkSession, d: str) -> DataFrame:
+    """The same calls behind the rate limiter, at a rate that the table's requests don't wait long for."""
+    cfg = BatchConfig(max_concurrent_llm_calls=4, llm_rate_limit=4000.0, llm_rate_burst=40.0)
+    out = batching.complete(batching.assign(_requests(spark, d), cfg, order=("conv_id", "turn")), lambda p, s: str(len(p) - len(s)), cfg)
+    return out.select("conv_id", "turn", "answer", "error")
+
+
+def mixed_averages(spark: SparkSession, d: str) -> DataFrame:
+    """Averages of a log with both kinds of calls, true ones and those of a server that mixes their counts."""
+    log = table(spark, d, "events").withColumn("us", F.floor(F.col("value") * 1000).cast("long"))
+    of = log.groupBy("user_id").agg(F.count_if(F.col("event_id") % 3 == 0).alias("searches"), F.count_if(F.col("event_id") % 3 != 0).alias("queries"), F.coalesce(F.sum("us"), F.lit(0)).alias("search_us"), F.coalesce(F.sum(F.when(F.col("event_id") % 3 != 0, F.col("us"))), F.lit(0)).alias("embed_us"))
+    names = ("avg_search_us", "avg_embed_us", "avg_search_us_ref", "avg_embed_us_ref")
+    return of.select("user_id", *[c.alias(n) for c, n in zip(metrics.mixed_averages("searches", "queries", "search_us", "embed_us"), names, strict=True)])
+
+
 def metrics_rollup(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "events").select("event_type", F.floor(F.col("value") * 1000).cast("long").alias("us"))
     return metrics.rollup(log, "event_type", "us")
@@ -255,7 +399,7 @@ def ingest_raw_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def documents_json_ingest(spark: SparkSession, d: str) -> DataFrame:
     body = table(spark, d, "documents").select(F.to_json(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("id"), "text")).alias("documents"))).alias("body"))
-    return ingest.json_documents(body)
+    return ingest.json_documents(body).select("doc_id", "text")
 
 
 def save_load_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -304,8 +448,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         knn_l2_top10, knn_ip_top10, knn_self_top1, l2_pairs, ip_pairs, range_score_filter, l2_norm, normalize, score_of_distance, filtered_top5,
-        knn_graph_simple, knn_graph_heuristic, reverse_connect, hnsw_levels, hnsw_top10, ivf_top10, ivf_recall,
-        chunk_default, chunk_64_8, chunk_ids, ingest_counts, mock_embed_64, fnv1a_prefix_hash,
+        knn_graph_simple, knn_graph_heuristic, knn_graph_cells, reverse_connect, hnsw_levels, hnsw_top10, hnsw_recall, ivf_top10, ivf_recall, ivf_all_cells,
+        random_unit_norms, dimension_check, vector_of_id, rag_timings, json_responses, knowledge_search, single_document_ingest, documents_json_chunked, ingest_timed,
+        directory_source, config_settings, api_embedding, prefix_inserts, complete_limited, mixed_averages, chunk_default, chunk_64_8, chunk_ids, ingest_counts, mock_embed_64, fnv1a_prefix_hash,
         retrieve_top3, retrieve_rerank, keyword_hits, augment_prompt, tool_output, rag_query_stub,
         prefix_longest, prefix_hit_stats, prefix_node_hits, batch_assign, batch_stats, complete_requests, metrics_rollup, latency_summary,
         ingest_raw_vectors, documents_json_ingest, save_load_roundtrip, binary_roundtrip, base_urls, index_health, stream_batches, stream_ingest,

@@ -7,7 +7,7 @@ from ..config import PROMPT
 _DIST = "list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: {}))"
 _L2 = _DIST.format("(p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)")
 _IP = "-" + _DIST.format("p[1]::DOUBLE * p[2]::DOUBLE")
-_URL = r"^(https?)://([^/:]+)(?::(\d+))?(/.*)?"
+_URL = r"\A(https?)://([^:/]+)(:[0-9]+)?(/[\s\S]*)?\z"
 
 
 def _r(x: str, places: int = 6) -> str:
@@ -89,6 +89,8 @@ _REQUESTS = """s AS (SELECT conv_id, arg_min(text, turn) AS system_message FROM
     ba AS (SELECT *, row_number() OVER (PARTITION BY system_message ORDER BY conv_id, turn) - 1 AS rn FROM rq)"""
 _COMPONENTS = "SELECT vec_id, CAST(i - 1 AS INT) AS i, {} AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) AS i, sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z::DOUBLE))) AS n FROM embeddings)"
 
+_TOOL = """'Found ' || count(rank) || ' relevant passages:' || chr(10) || chr(10) || coalesce(string_agg('--- Result ' || rank || ' (score: ' || printf('%g', score) || ') ---' || chr(10) || top3.text || chr(10) || chr(10), '' ORDER BY rank), '')"""
+
 ORACLE_SQL: dict[str, str] = {
     "knn_l2_top10": f"SELECT query_id, rank, id, {_r('d')} AS distance, {_r(_SCORE)} AS score FROM ({_top(_L2, 10, True)})",
     "knn_ip_top10": f"SELECT query_id, rank, id, {_r('d')} AS distance, {_r(_SCORE)} AS score FROM ({_top(_IP, 10, False)})",
@@ -101,6 +103,26 @@ ORACLE_SQL: dict[str, str] = {
     "score_of_distance": f"SELECT vec_id, {_r('a')} AS l2, {_r('b')} AS ip, {_r(_score('a'))} AS l2_score, {_r(_score('b'))} AS ip_score FROM (SELECT q.vec_id, {_L2} AS a, {_IP} AS b FROM embeddings q JOIN embeddings v ON v.vec_id = q.vec_id + 1)",
     "filtered_top5": f"SELECT query_id, rank, id, {_r('d')} AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS INT) AS rank FROM ({_pairs(_L2)} WHERE q.label = v.label AND q.vec_id <> v.vec_id)) WHERE rank <= 5",
     "knn_graph_simple": f"SELECT query_id AS src, rank, id AS dst, {_r('d')} AS distance FROM ({_top(_L2, 8, False)})",
+    "ivf_all_cells": f"SELECT query_id, rank, id, {_r('d')} AS distance, {_r(_SCORE)} AS score FROM ({_top(_L2, 10, True)})",
+    "hnsw_levels": "SELECT vec_id, CAST(least(floor(-ln((('0x' || substr(md5(vec_id || ':42'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE) / ln(32::DOUBLE)), 15) AS TINYINT) AS level FROM embeddings",
+    "random_unit_norms": "SELECT range AS vec_id, CAST(64 AS INT) AS n, 1.0::DOUBLE AS norm FROM range(1000)",
+    "dimension_check": "SELECT vec_id, CAST(len(embedding) AS INT) AS n FROM embeddings",
+    "vector_of_id": f"{_COMPONENTS.format(_r('y'))} WHERE vec_id = (SELECT max(vec_id) FROM embeddings)",
+    "json_responses": f"""{_RETRIEVED} SELECT item_id AS query_id, CAST(count(rank) AS INT) AS n, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank), '') AS ids, coalesce(string_agg(md5(top3.text), ',' ORDER BY rank), '') AS texts
+      FROM benchmark LEFT JOIN top3 ON item_id = query_id GROUP BY item_id""",
+    "knowledge_search": f"""{_RETRIEVED}, o AS (SELECT item_id AS query_id, {_TOOL} AS output FROM benchmark LEFT JOIN top3 ON item_id = query_id WHERE benchmark.text <> '' GROUP BY item_id)
+      SELECT * FROM o WHERE query_id = (SELECT min(query_id) FROM o)""",
+    "single_document_ingest": f"WITH RECURSIVE {_chunks(512, 64)} SELECT doc_id, idx AS chunk_idx, substr(text, pos + 1, e - pos) AS text FROM r WHERE doc_id = (SELECT max(doc_id) FROM documents)",
+    "documents_json_chunked": f"WITH RECURSIVE {_chunks(64, 8)} SELECT CAST(doc_id AS VARCHAR) AS doc_id, idx AS chunk_idx, substr(text, pos + 1, e - pos) AS text FROM r",
+    "directory_source": "SELECT item_id, regexp_replace(text, '[\\r\\n]', ' ', 'g') AS text FROM benchmark",
+    "config_settings": "SELECT * FROM (VALUES ('m', '24'), ('dim', '64'), ('ef_search', '200'), ('chunk_size', '128'), ('chunk_overlap', '16'), ('top_k', '10'), ('top_n', '4'), ('enable_rerank', 'True'), ('llm_rate_limit', '30.5'), ('max_batch_size', '32'), ('embed_model', 'own')) AS t(name, value)",
+    "api_embedding": "SELECT item_id, CAST(i AS INT) AS i, x::DOUBLE AS x FROM (SELECT item_id, unnest([0, 1, 2]) AS i, unnest([length(text), length(text) - length(replace(text, 'e', '')), 0.5]) AS x FROM benchmark)",
+    "prefix_inserts": "WITH w AS (SELECT item_id, substr(text, 1, n) AS prefix, item_id + 1 AS cache_id FROM benchmark, (VALUES (1), (2), (3)) AS lens(n) WHERE text <> '') SELECT prefix, arg_max(cache_id, item_id) AS cache_id, (SELECT count(*) FROM w) AS size FROM w GROUP BY prefix",
+    "complete_limited": f"WITH {_REQUESTS} SELECT conv_id, turn, CAST(length(prompt) - length(system_message) AS VARCHAR) AS answer, CAST(NULL AS VARCHAR) AS error FROM rq",
+    "mixed_averages": """WITH l AS (SELECT user_id, event_id, CAST(floor(value * 1000) AS BIGINT) AS us FROM events),
+      a AS (SELECT user_id, count(*) FILTER (event_id % 3 = 0) AS s, count(*) FILTER (event_id % 3 <> 0) AS q, CAST(coalesce(sum(us), 0) AS BIGINT) AS t, CAST(coalesce(sum(us) FILTER (event_id % 3 <> 0), 0) AS BIGINT) AS e FROM l GROUP BY user_id)
+      SELECT user_id, CASE WHEN s + q > 0 THEN CAST(floor(t / (s + q)) AS BIGINT) ELSE 0 END AS avg_search_us, CASE WHEN s + q > 0 THEN CAST(floor(e / (s + q)) AS BIGINT) ELSE 0 END AS avg_embed_us,
+        CASE WHEN s > 0 THEN CAST(floor(t / s) AS BIGINT) ELSE 0 END AS avg_search_us_ref, CASE WHEN q > 0 THEN CAST(floor(e / q) AS BIGINT) ELSE 0 END AS avg_embed_us_ref FROM a""",
     "reverse_connect": f"""WITH g AS ({_top(_L2, 8, False)}), e AS (SELECT query_id AS src, id AS dst, d FROM g UNION SELECT id, query_id, d FROM g)
       SELECT src, rank, dst, {_r('d')} AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY d, dst) AS INT) AS rank FROM e) WHERE rank <= 16""",
     "chunk_default": f"WITH RECURSIVE {_chunks(512, 64)} SELECT doc_id, idx AS chunk_idx, substr(text, pos + 1, e - pos) AS text FROM r",
@@ -118,7 +140,7 @@ ORACLE_SQL: dict[str, str] = {
       t AS MATERIALIZED (SELECT doc_id, translate(text, '{_UP}', '{_LOW}') AS low FROM documents)
       SELECT item_id AS query_id, doc_id, CAST(len(list_filter(w, lambda x: contains(low, x))) AS INT) AS hits FROM q, t""",
     "augment_prompt": f"{_AUGMENTED} SELECT query_id, prompt FROM prompts",
-    "tool_output": f"""{_RETRIEVED} SELECT item_id AS query_id, 'Found ' || count(rank) || ' relevant passages:' || chr(10) || chr(10) || coalesce(string_agg('--- Result ' || rank || ' (score: ' || printf('%g', score) || ') ---' || chr(10) || top3.text || chr(10) || chr(10), '' ORDER BY rank), '') AS output
+    "tool_output": f"""{_RETRIEVED} SELECT item_id AS query_id, {_TOOL} AS output
       FROM benchmark LEFT JOIN top3 ON item_id = query_id GROUP BY item_id""",
     "rag_query_stub": f"{_AUGMENTED} SELECT query_id, 'prompt of ' || length(prompt) || ' characters' AS answer, CAST((SELECT count(*) FROM top3 WHERE top3.query_id = prompts.query_id) AS INT) AS n_sources FROM prompts",
     "prefix_longest": f"WITH {_PREFIXES} SELECT doc_id, CAST(coalesce(max(octet_length(encode(prefix))), 0) AS BIGINT) AS matched_bytes FROM documents LEFT JOIN p ON starts_with(text, prefix) GROUP BY doc_id",
@@ -133,8 +155,10 @@ ORACLE_SQL: dict[str, str] = {
     "binary_roundtrip": _COMPONENTS.format(_r("y")),
     "documents_json_ingest": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents",
     "save_load_roundtrip": "SELECT vec_id, label, CAST(len(embedding) AS INT) AS n, 64 AS dim FROM embeddings",
-    "base_urls": "SELECT page_id, g[1] AS scheme, g[2] AS host, CAST(CASE WHEN g[3] <> '' THEN g[3] WHEN g[1] = 'https' THEN '443' ELSE '80' END AS INT) AS port, regexp_replace(g[4], '/$', '') AS path"
-    " FROM (SELECT page_id, [" + ", ".join(f"regexp_extract(url, '{_URL}', {k})" for k in range(1, 5)) + "] AS g FROM pages)",
+    "base_urls": f"""SELECT page_id, CASE WHEN ok THEN g[1] END AS scheme, CASE WHEN ok THEN g[2] END AS host,
+      CASE WHEN NOT ok THEN NULL WHEN length(g[3]) > 1 THEN TRY_CAST(CASE WHEN length(g[3]) <= 10 THEN substr(g[3], 2) END AS INT) WHEN g[1] = 'https' THEN 443 ELSE 80 END AS port,
+      CASE WHEN ok THEN regexp_replace(g[4], '/\\z', '') END AS path
+      FROM (SELECT page_id, coalesce(regexp_matches(url, '{_URL}'), false) AS ok, [{", ".join(f"regexp_extract(url, '{_URL}', {k})" for k in range(1, 5))}] AS g FROM pages)""",
     "index_health": f"WITH RECURSIVE {_chunks(512, 64)} SELECT 'ok' AS status, (SELECT count(*) FROM embeddings) AS index_size, count(*) AS chunks FROM r",
     "stream_batches": f"WITH {_REQUESTS} SELECT conv_id, turn, length(prompt) || '/' || length(system_message) AS answer, CAST(NULL AS VARCHAR) AS error FROM rq",
     "stream_ingest": f"WITH RECURSIVE {_chunks(512, 64)} SELECT doc_id, idx AS chunk_idx, substr(text, pos + 1, e - pos) AS text FROM r",

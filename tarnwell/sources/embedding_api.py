@@ -17,16 +17,19 @@ from .ingest import URL
 Post = Callable[[str, bytes, dict[str, str]], tuple[int, bytes]]
 
 
-def http_post(base: str, timeout: float = 30) -> tuple[Post, str]:
-    """A function that posts over one connection, and the base's path."""
-    m = re.match(URL, base)
+def http_post(base: str, timeout: float = 30, connect_timeout: float = 10) -> tuple[Post, str]:
+    """A function that posts over one connection, and the base's path. Connecting may take connect_timeout, an answer timeout seconds."""
+    m = re.fullmatch(URL, base)
     if not m:
         raise ValueError(f"not a base URL: {base}")
     path = (m[4] or "").removesuffix("/")
     kind = http.client.HTTPSConnection if m[1] == "https" else http.client.HTTPConnection
-    connection = kind(m[2], int(m[3]) if m[3] else None, timeout=timeout)
+    connection = kind(m[2], int(m[3][1:]) if m[3] else None, timeout=connect_timeout)
 
     def post(to: str, body: bytes, headers: dict[str, str]) -> tuple[int, bytes]:
+        if connection.sock is None:
+            connection.connect()
+            connection.sock.settimeout(timeout)
         connection.request("POST", to, body, headers)
         answer = connection.getresponse()
         return answer.status, answer.read()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,9 +24,26 @@ def raw_vectors(bodies: DataFrame, dim: int, body: str = "body") -> DataFrame:
 
 
 def json_documents(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """(doc_id, text) of JSON bodies."""
+    """(doc_id, text, chunk_size, chunk_overlap) of JSON bodies; the sizes are those of the body, null where it has none."""
     empty = F.array().cast("array<struct<id: string, text: string>>")
-    return bodies.select(F.inline(F.coalesce(F.from_json(body, DOCUMENTS_BODY, {"mode": "FAILFAST"})["documents"], empty))).select(F.col("id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    b = bodies.select(F.from_json(body, DOCUMENTS_BODY, {"mode": "FAILFAST"}).alias("b"))
+    rows = b.select(F.inline(F.coalesce("b.documents", empty)), F.col("b.chunk_size").alias("chunk_size"), F.col("b.chunk_overlap").alias("chunk_overlap"))
+    return rows.select(F.col("id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "chunk_size", "chunk_overlap")
+
+
+def single(spark: SparkSession, doc_id: str | int, text: str) -> DataFrame:
+    """(doc_id, text): one document, to go the way of many. An empty text has no chunks, but counts as a document."""
+    return spark.createDataFrame([(doc_id, text)], f"doc_id {'long' if isinstance(doc_id, int) else 'string'}, text string")
+
+
+def index(docs: DataFrame, path: str, embed: Callable[[Column], Column], cfg: ChunkConfig = ChunkConfig(), key: str = "doc_id", start: int = 0) -> DataFrame:
+    """Appends the chunks of documents, with their vectors, to the table at path; (documents_indexed, chunks_created, vectors_inserted, time_ms)."""
+    began = time.perf_counter()
+    done = chunk_table(docs, embed, cfg, key, start)
+    done.write.mode("append").parquet(path)
+    n = counts(docs, done).first()
+    row = (n["documents_indexed"], n["chunks_created"], n["vectors_inserted"], 1000 * (time.perf_counter() - began))
+    return docs.sparkSession.createDataFrame([row], "documents_indexed long, chunks_created long, vectors_inserted long, time_ms double")
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
@@ -57,12 +75,15 @@ def counts(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("documents_indexed")).crossJoin(chunks.agg(F.count("*").alias("chunks_created"), F.count("*").alias("vectors_inserted")))
 
 
-URL = r"^(https?)://([^/:]+)(?::(\d+))?(/.*)?"
+#: Scheme, host, port with its colon, path; the whole string must match.
+URL = r"(https?)://([^:/]+)(:[0-9]+)?(/[\s\S]*)?"
 
 
 def parse_base_url(url: Column) -> Column:
     """struct(scheme, host, port, path) of a base URL: default ports, one slash less at the end; null if it is none."""
-    part = lambda i: F.regexp_extract(url, URL, i)
-    port = F.when(part(3) != "", F.try_to_number(part(3), F.lit("99999")).cast("int")).when(part(1) == "https", 443).otherwise(80)
-    parts = F.struct(part(1).alias("scheme"), part(2).alias("host"), port.alias("port"), F.regexp_replace(part(4), "/$", "").alias("path"))
-    return F.when(url.rlike(URL), parts)
+    part = lambda i: F.regexp_extract(url, rf"\A{URL}\z", i)
+    given = F.substring(part(3), 2, 99)
+    port = F.when(given != "", F.expr("null").cast("int")).when(part(1) == "https", 443).otherwise(80)
+    port = F.when(F.length(given).between(1, 9), given.try_cast("int")).otherwise(port)
+    parts = F.struct(part(1).alias("scheme"), part(2).alias("host"), port.alias("port"), F.regexp_replace(part(4), r"/\z", "").alias("path"))
+    return F.when(url.rlike(rf"\A{URL}\z"), parts)

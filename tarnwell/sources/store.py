@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,41 @@ VERSION = 1
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share, spark.checkpoint.dir; one of our own only where that is unset."""
+    """A new folder in the one that all executors share, spark.checkpoint.dir; one of our own only where that is unset and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or tempfile.mkdtemp(prefix='tarnwell-')).rstrip('/')}/{uuid.uuid4().hex}"
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tarnwell-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_standing: dict[tuple, tuple[str, object]] = {}
+
+
+def standing(spark: SparkSession, name: str, of: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table `name` of the files that `of` reads: built and saved when it is first asked for, and again when those
+    files have changed; read from then on."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = []
+    for f in sorted(of.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        at = path.getFileSystem(conf).getFileStatus(path)
+        files.append((f, at.getLen(), at.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, tuple(files))
+    if key not in _standing:
+        path, df = folder(spark), build()
+        df.write.parquet(path)
+        _standing[key] = (path, df.schema)
+    path, schema = _standing[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def get_vector(vectors: DataFrame, value: int, key: str = "vec_id", vector: str = "embedding") -> list[float] | None:
+    """The vector of an id; None if there is none. Of equal ids one."""
+    row = vectors.where(F.col(key) == value).select(vector).first()
+    return None if row is None else row[0]
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from tarnwell.config import IndexConfig
 from tarnwell.functions import distance as D
 from tarnwell.operators import hnsw, ivf, knn
+from tarnwell.sources import store
 
 
 def unit(n, dim, seed=42):
@@ -45,6 +46,20 @@ def test_edges(spark):
     assert [x.id for x in knn.top_k(q, twice, 5).orderBy("rank").collect()] == [42, 42]
     with pytest.raises(Exception, match="dimensions"):
         knn.top_k(spark.createDataFrame([(0, [1.0])], q.schema), one, 1).collect()
+    three = spark.createDataFrame([(1, [0.0, 0.0, 0.0]), (2, [0.0, 0.0, 0.0, 0.0, 0.0])], one.schema)
+    with pytest.raises(Exception, match="dimensions"):  # of the same size together
+        knn.top_k(q, three.coalesce(1), 5).collect()
+    with pytest.raises(Exception, match="dimensions"):
+        ivf.Cells(np.zeros((1, 4))).assign(three).collect()
+    holes = spark.createDataFrame([(1, [0.0, 0.0, 0.0, 0.0]), (2, [None, 0.0, 0.0, 0.0]), (3, [1.0, 0.0, 0.0, 0.0]), (4, None), (5, [float("nan"), 0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0])], one.schema)
+    assert [x.id for x in knn.top_k(q, holes, 5).orderBy("rank").collect()] == [3, 1]
+    cells = ivf.Cells.fit(holes, 2)
+    assert {x.vec_id: x.cell is None for x in cells.assign(holes).collect()} == {1: False, 2: True, 3: False, 4: True, 5: True, None: False}
+    assert [x.id for x in ivf.search(q, cells.assign(holes), cells, 5, 2).orderBy("rank").collect()] == [3, 1]
+    cfg = IndexConfig(dim=4, m=4)
+    assert [x.id for x in hnsw.search(q, holes, 5, cfg).orderBy("rank").collect()] == [3, 1]
+    with pytest.raises(Exception, match="dimensions"):
+        hnsw.search(spark.createDataFrame([(0, [1.0])], q.schema), holes, 1, cfg).collect()
     with pytest.raises(Exception, match="expected 3 dimensions"):
         knn.check_dim(one, "embedding", 3).collect()
 
@@ -91,7 +106,47 @@ def test_sharded_graphs(spark):
     x, q = unit(600, 16), unit(20, 16, 5)
     cfg = IndexConfig(dim=16, m=8, m_max0=16, ef_construct=40, ef_search=40)
     queries, vectors = frame(spark, q, "query_id"), frame(spark, x)
-    assert knn.recall(hnsw.search(queries, vectors, 10, cfg, shards=3), knn.top_k(queries, vectors, 10)).first().recall > 0.9
+    true = knn.top_k(queries, vectors, 10)
+    assert knn.recall(hnsw.search(queries, vectors, 10, cfg, per_shard=200), true).first().recall > 0.9
+    index = store.saved(hnsw.build(vectors.where("vec_id < 400"), cfg, per_shard=200))
+    more = store.saved(hnsw.add(index, vectors.where("vec_id >= 400"), cfg, per_shard=200))
+    assert {r.shard: r.n for r in more.collect()}.keys() == {0, 1, 2} and sum(r.n for r in more.collect()) == 600
+    assert knn.recall(hnsw.find(queries, more, 10, cfg), true).first().recall > 0.9
+
+
+def test_a_graph_is_read_as_it_was_written():
+    x, cfg = unit(300, 8), IndexConfig(dim=8, m=4, m_max0=8, ef_construct=20)
+    g = hnsw.Graph(cfg)
+    for i, v in enumerate(x):
+        g.insert(i, v)
+    back = hnsw.Graph.from_bytes(g.to_bytes(), cfg)
+    assert back.layers == g.layers and back.ids == g.ids and all(back.search(q, 5, 30) == g.search(q, 5, 30) for q in unit(20, 8, 3))
+    back.insert(300, x[0])
+    assert len(back) == 301 and hnsw.Graph.from_bytes(hnsw.Graph(cfg).to_bytes(), cfg).search(x[0], 3) == []
+
+
+def test_graph_of_cells(spark):
+    v = frame(spark, unit(800, 8))
+    cells = ivf.Cells.fit(v)
+    assert 20 <= len(cells.centres) <= 28
+    exact = knn.graph(v, 6).withColumnsRenamed({"src": "query_id", "dst": "id"})
+    near = ivf.graph(v, 6, cells, len(cells.centres) // 2)
+    assert knn.recall(near.withColumnsRenamed({"src": "query_id", "dst": "id"}), exact).first().recall > 0.9
+    assert near.where("src = dst").count() == 0 and knn.heuristic_graph(v, 4, 6, near=near).groupBy("src").count().where("count = 4").count() == 800
+
+
+def test_standing_tables_are_built_once(spark, tmp_path):
+    frame(spark, unit(20, 4)).write.parquet(str(tmp_path / "v"))
+    built = []
+
+    def ask():
+        v = spark.read.parquet(str(tmp_path / "v"))
+        return store.standing(spark, "test", v, lambda: built.append(1) or v.select("vec_id")).count()
+
+    assert (ask(), ask(), len(built)) == (20, 20, 1)
+    frame(spark, unit(5, 4)).write.mode("append").parquet(str(tmp_path / "v"))
+    assert (ask(), len(built)) == (25, 2)
+    assert store.get_vector(spark.read.parquet(str(tmp_path / "v")), 99) is None
 
 
 def test_levels(spark):
