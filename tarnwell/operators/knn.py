@@ -134,13 +134,12 @@ def heuristic_graph(vectors: DataFrame, m: int, candidates: int, metric: str = "
 
 def diverse(x: np.ndarray, d: np.ndarray, m: int, metric: str) -> list[int]:
     """Which of the candidates x, sorted by their distance d, the heuristic chooses."""
-    between = D.pairwise(x, x, metric)
     chosen: list[int] = []
     rest: list[int] = []
     for i in range(len(x)):
         if len(chosen) == m:
             break
-        (rest if any(between[i, j] < d[i] for j in chosen) else chosen).append(i)
+        (rest if chosen and (D.exact(x[i][None], x[chosen], metric) < d[i]).any() else chosen).append(i)
     return chosen + rest[: m - len(chosen)]
 
 

@@ -123,6 +123,14 @@ ORACLE_SQL: dict[str, str] = {
       a AS (SELECT user_id, count(*) FILTER (event_id % 3 = 0) AS s, count(*) FILTER (event_id % 3 <> 0) AS q, CAST(coalesce(sum(us), 0) AS BIGINT) AS t, CAST(coalesce(sum(us) FILTER (event_id % 3 <> 0), 0) AS BIGINT) AS e FROM l GROUP BY user_id)
       SELECT user_id, CASE WHEN s + q > 0 THEN CAST(floor(t / (s + q)) AS BIGINT) ELSE 0 END AS avg_search_us, CASE WHEN s + q > 0 THEN CAST(floor(e / (s + q)) AS BIGINT) ELSE 0 END AS avg_embed_us,
         CASE WHEN s > 0 THEN CAST(floor(t / s) AS BIGINT) ELSE 0 END AS avg_search_us_ref, CASE WHEN q > 0 THEN CAST(floor(e / q) AS BIGINT) ELSE 0 END AS avg_embed_us_ref FROM a""",
+    "hnsw_top10": f"SELECT query_id, rank, id, {_r('d')} AS distance, {_r(_SCORE)} AS score FROM ({_top(_L2, 10, True)})",  # the beam finds all of them on these tables
+    "hnsw_recall": "SELECT 1.0::DOUBLE AS recall, count(*) AS queries FROM embeddings",
+    "knn_graph_heuristic": f"""WITH RECURSIVE near AS ({_top(_L2, 24, False)}), n AS (SELECT query_id AS src, rank AS i, id, d, embedding AS e FROM near JOIN embeddings ON vec_id = id),
+      g(src, i, chosen, rest) AS (SELECT vec_id, 0, []::STRUCT(id BIGINT, d DOUBLE, e FLOAT[])[], []::STRUCT(id BIGINT, d DOUBLE, e FLOAT[])[] FROM embeddings
+        UNION ALL SELECT src, i, CASE WHEN far THEN chosen ELSE list_append(chosen, c) END, CASE WHEN far THEN list_append(rest, c) ELSE rest END
+        FROM (SELECT g.src, n.i, chosen, rest, {{'id': id, 'd': d, 'e': n.e}} AS c, len(chosen) >= 8 OR len(list_filter(chosen, lambda o: list_sum(list_transform(list_zip(o.e, n.e), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) < d)) > 0 AS far FROM g JOIN n ON n.src = g.src AND n.i = g.i + 1)),
+      l AS (SELECT src, list_concat(chosen, rest)[1:8] AS l FROM g WHERE i = 24)
+      SELECT src, CAST(rank AS INT) AS rank, l[rank].id AS dst, {_r('l[rank].d')} AS distance FROM (SELECT src, l, unnest(range(1, 9)) AS rank FROM l)""",
     "reverse_connect": f"""WITH g AS ({_top(_L2, 8, False)}), e AS (SELECT query_id AS src, id AS dst, d FROM g UNION SELECT id, query_id, d FROM g)
       SELECT src, rank, dst, {_r('d')} AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY d, dst) AS INT) AS rank FROM e) WHERE rank <= 16""",
     "chunk_default": f"WITH RECURSIVE {_chunks(512, 64)} SELECT doc_id, idx AS chunk_idx, substr(text, pos + 1, e - pos) AS text FROM r",
