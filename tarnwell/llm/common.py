@@ -241,6 +241,12 @@ def components(edges: DataFrame) -> DataFrame:
     return e.selectExpr("u AS id", "v AS root").unionByName(e.selectExpr("v AS id", "v AS root")).distinct()
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the corpus: sorted and merged, which spills, and which adaptive execution
+    splits where a key is hot. At every size, so that a small run does what a large one will."""
+    return df.hint("merge")
+
+
 def lists(df: DataFrame, key: str, value: Column, name: str, most: int = 2048) -> DataFrame:
     """(key, name): the values of each key in lists of about `most` at the most, so that no key has a list without a bound."""
     n = F.count("*").over(Window.partitionBy(key))

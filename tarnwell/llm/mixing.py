@@ -174,6 +174,6 @@ def mix(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
 def mixed(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """docs with each row as often as mix() says; all columns as they were."""
     copies = mix(docs, cfg).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_n"))
-    met = docs.join(copies.hint("shuffle_hash"), docs["doc_id"] == copies["_id"])
+    met = docs.join(C.growing(copies), docs["doc_id"] == copies["_id"])
     k = C.fresh(docs, "_k")
     return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies["_n"])).alias(k)).drop(k)

@@ -182,8 +182,8 @@ def repeated_passages(docs: DataFrame, cfg: SuffixConfig = SuffixConfig()) -> Da
             row, s, c = row[fits], s[fits], c[fits]
             yield C.batch_of(key=C.ids_of(flat.field("key"))[fits], doc_id=C.ids_of(b.column("doc_id"))[row], start=s, words=C.binaries(short[C.expand(off[row] + s, c)], c))
 
-    parts = leads.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("parts"))
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").join(parts.hint("shuffle_hash"), "doc_id")
+    parts = C.lists(leads, "doc_id", F.struct("key", "place"), "parts")
+    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").join(C.growing(parts), "doc_id")
     pieces = texts.mapInArrow(cut, "key long, doc_id long, start long, words binary")
     shards = max(1, -(-total // cfg.shard_words))
     found = pieces.repartition(int(shards), "key").mapInArrow(_repeats(cfg, f"{C.scratch_dir(spark)}/runs-{uuid.uuid4().hex}"), "doc_id long, start_word long, end_word long, source_doc long, source_start long")
