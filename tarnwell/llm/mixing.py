@@ -11,14 +11,15 @@ All choices come from hashes of the ids and the seed, over sorted rows: a task t
 
 Defined results: rows of equal doc_id are one document (of the smallest source, with their lengths added) with one
 number of copies; rows with a null doc_id get none; a null source is a source of its own; null and empty texts have
-no characters, but are copied with their source; sources without any characters get no copies; an empty table gives
-an empty result.
+no characters, but are copied with their source; texts of any length count whole; sources without any characters
+get no copies; documents of equal length are told apart by their ids; an empty table gives an empty result; other
+columns are not looked at, and mixed() leaves them as they were.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,6 @@ class MixConfig:
     total: float = 1.0
     fan_in: int = 64
     seed: int = 17
-    scratch: str = field(default="mix", repr=False)
 
 
 def _uniform(a: int, b: int, seed: int) -> float:

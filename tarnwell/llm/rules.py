@@ -8,8 +8,10 @@ expression of Spark over the statistics' columns.
 
 Defined results: a null text counts as an empty one; without labels of both kinds the list is empty and rejects
 nothing; labels with nulls are not used; rows of equal doc_id in labels count once (the lowest quality wins); every
-input row is judged by itself, repeated rows alike; columns of the input that are named like a statistic stay as
-they are.
+input row is judged by itself, repeated rows alike, and for the fit a labelled document counts once (of rows of equal
+doc_id the smallest statistics); thresholds lie between values, so that equal values fall on one side; statistics are
+those of whole texts of any length; an empty table gives an empty result; columns of the input that are named like a
+statistic stay as they are.
 """
 
 from __future__ import annotations
@@ -209,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: RuleConfig = RuleConfig()) -> l
     few = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample)
     met = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # of bounded size
-    rows = met.select("quality", _statistics_udf(F.coalesce("text", F.lit(""))).alias("_stats")).select("quality", "_stats.*").toArrow()
+    one = met.select("doc_id", F.struct("quality", _statistics_udf(F.coalesce("text", F.lit(""))).alias("_stats")).alias("_x")).groupBy("doc_id").agg(F.min("_x").alias("_x"))
+    rows = one.select("_x.quality", "_x._stats.*").toArrow()  # a row for each labelled document, however often docs has it
     x = {s: rows.column(s).to_numpy() for s in STATISTICS}
     order = np.lexsort([*x.values(), rows.column("quality").to_numpy()])  # rows come in no order
     return learn({s: v[order] for s, v in x.items()}, rows.column("quality").to_numpy()[order] == 0, cfg)

@@ -56,6 +56,43 @@ def test_documents_have_their_expectation(spark):
     assert abs(n.mean() / 12 - expected(rows, M.MixConfig())["a"]) < 0.05 and n.max() <= 12 * math.ceil(expected(rows, M.MixConfig())["a"])
 
 
+def test_the_query_by_brute_force(spark):
+    """One partition: pairs of each source meet in the order of their hash, one after another, in plain Python."""
+    rows, cfg = corpus()[:300], M.MixConfig()
+    docs = table(spark, rows)
+    order = {r.doc_id: r.o for r in docs.selectExpr("doc_id", f"xxhash64(doc_id, {cfg.seed}) AS o").collect()}
+    u = dict(zip([r[0] for r in rows], M.uniforms(np.array([r[0] for r in rows]), cfg.seed)))
+    want = {}
+    for s, e in expected(rows, cfg).items():
+        ids = sorted((d for d, _, x in rows if x == s), key=lambda d: (order[d], d))
+        base, held = math.floor(e), None  # held: the document with a fraction, and the fraction
+        for d in ids:
+            want[d], p = base, e - base
+            if p < 1e-9:
+                continue
+            if held is None:
+                held = (d, p)
+                continue
+            h, q = held
+            if p + q < 1:  # the mass goes to one of the two
+                held = (h, p + q) if u[d] * (p + q) < q else (d, p + q)
+            else:  # one of the two is full
+                full = u[d] * (2 - p - q) < 1 - p
+                want[h if full else d] += 1
+                held = (d if full else h, p + q - 1)
+            if held[1] < 1e-9 or held[1] > 1 - 1e-9:
+                want[held[0]] += round(held[1])
+                held = None
+        if held is not None:
+            want[held[0]] += M._uniform(held[0], 1, cfg.seed) < held[1]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.doc_id: r.copies for r in M.mix(docs.coalesce(1), cfg).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     got = M.mix(docs).collect()

@@ -1,8 +1,17 @@
 """The pipeline's stages one after another, on a small corpus where the right result is known."""
 
-from tarnwell.llm import bpe
+import functools
 
-from .helpers import words
+import tiktoken
+
+from tarnwell.llm import bpe, mixing
+
+from .helpers import awkward, words
+
+
+@functools.cache
+def whole():
+    return tiktoken.Encoding("whole", pat_str=bpe.PATTERN, mergeable_ranks=bpe.Bpe(bpe.BpeConfig()).ranks, special_tokens={})
 
 
 def corpus(spark, tmp_path):
@@ -44,9 +53,8 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in seen[1]} == one and len(seen[1]) == len(one)
     assert {r.doc_id: r.text for r in seen[2]} == {i: texts[i].replace(key, "[SECRET]") for i in one}
     assert {r.doc_id for r in seen[3]} <= one and all(r.text == texts[r.doc_id].replace(key, "[SECRET]") for r in seen[3])
-    model = bpe.Bpe(bpe.BpeConfig())
     text = {r.doc_id: r.text for r in seen[2]}
-    assert len(seen[4]) == len(seen[3]) and all(r.tokens == model.short(text[r.doc_id]) and r.exact for r in seen[4])
+    assert len(seen[4]) == len(seen[3]) and all(r.tokens == whole().encode_ordinary(text[r.doc_id]) and r.exact for r in seen[4])
 
 
 def test_run_is_the_stages(spark, tmp_path):
@@ -55,3 +63,41 @@ def test_run_is_the_stages(spark, tmp_path):
     d, texts, _ = corpus(spark, tmp_path)
     got = P.run(spark, d)
     assert got.columns == ["doc_id", "n_tokens", "tokens", "exact"] and {r.doc_id for r in got.collect()} <= set(texts) and P.ORACLE_SQL is None
+
+
+def test_run_by_brute_force(spark, tmp_path):
+    """run() against each stage's plain counterpart, on rows with nulls, repeats, ties, long texts and clashing names."""
+    import corpus_pipeline as P
+    from tarnwell.llm import rules
+
+    from .test_rules import plain_statistics
+    from .test_secrets import found_in
+    from .test_sketch import brute
+
+    d, _, key = corpus(spark, tmp_path)
+    docs = spark.read.parquet(f"{d}/documents.parquet").unionByName(awkward(spark).select("doc_id", "text", "lang", "source", "n_chars").selectExpr("doc_id + 5000 AS doc_id", "text", "lang", "source", "n_chars"))
+    docs = docs.selectExpr("*", "'own' AS _stats", "'own' AS _gone", "'own' AS tokens")
+    e = f"file://{tmp_path}/own"
+    docs.write.parquet(f"{e}/documents.parquet")
+    spark.read.parquet(f"{d}/labels.parquet").write.parquet(f"{e}/labels.parquet")
+    learned = rules.fit(docs, spark.read.parquet(f"{e}/labels.parquet"))
+    rows = [r for r in docs.collect() if not any(all(plain_statistics(r.text)[c.statistic] >= c.value if c.at_least else plain_statistics(r.text)[c.statistic] <= c.value for c in rule) for rule in learned)]
+    first = {r.doc_id: r.text for r in rows if r.doc_id is not None and r.text}
+    short = {i: t for i, t in first.items() if len(t.split()) < 3}  # of fewer words than a shingle: copies only if equal
+    gone = {i for i, _ in brute(sorted((i, t) for i, t in first.items() if i not in short))}
+    rows = [r for r in rows if r.doc_id not in gone]
+    masked = {}
+    for r in rows:
+        text = r.text
+        for f in found_in([text])[0] if text else []:
+            text = text.replace(f, "[SECRET]", 1)
+        masked.setdefault(r.doc_id, []).append(text)
+    left = spark.createDataFrame([(i, t, next(r.source for r in rows if r.doc_id == i)) for i, ts in masked.items() for t in ts], "doc_id long, text string, source string")
+    copies = {r.doc_id: r.copies for r in mixing.mix(left).collect()}
+    want = sorted((i, str(None if t is None else whole().encode_ordinary(t))) for i, ts in masked.items() if i is not None for t in ts for _ in range(copies[i]))
+    got = sorted((r.doc_id, str(r.tokens)) for r in P.run(spark, e).collect())
+    assert got == want and len(want) > 60
+    empty = f"file://{tmp_path}/none"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.read.parquet(f"{d}/labels.parquet").limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert P.run(spark, empty).collect() == []

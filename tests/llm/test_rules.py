@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -50,6 +53,63 @@ def test_statistics():
     assert abs(s["unique_words"][0] - 4 / 6) < 1e-12 and abs(s["repeated_lines"][0] - 1 / 3) < 1e-12 and abs(s["upper"][0] - 2 / 18) < 1e-12
 
 
+def plain_statistics(text):
+    """The statistics by their definition, a character at a time."""
+    text = text or ""
+    raw = text.encode()
+    chars, blank, stops = len(text), "\t\n\x0b\x0c\r ", ".,;:?'\"()-"
+    ws, ls = [w for w in re.split(f"[{blank}]+", text) if w], [x for x in text.split("\n") if x]
+    symbol = lambda c: 32 < c < 127 and not chr(c).isalnum() and chr(c) not in stops
+    some, nw, nl = max(chars, 1), max(len(ws), 1), max(len(ls), 1)
+    return {
+        "chars": chars, "words": len(ws), "word_length": chars / nw, "upper": sum("A" <= c <= "Z" for c in text) / some, "digits": sum("0" <= c <= "9" for c in text) / some, "symbols": sum(map(symbol, raw)) / some,
+        "stops": sum(c in stops for c in text) / some, "spaces": sum(c in blank for c in text) / some, "other_script": sum(c >= 0xC0 for c in raw) / some, "unique_words": len(set(ws)) / nw,
+        "longest_word": max((len(w.encode()) for w in ws), default=0), "lines": len(ls), "line_length": chars / nl, "repeated_lines": 1 - len(set(ls)) / nl, "odd_word_ends": sum(symbol(w.encode()[-1]) for w in ws) / nw,
+    }
+
+
+def test_statistics_by_their_definition():
+    r = random.Random(2)
+    texts = ["".join(r.choice(["a", "B", "7", " ", "\n", ".", "#", "é", "漢", "😀", "word ", "\t", "-", "$"]) for _ in range(r.randrange(80))) for _ in range(300)] + [None, "", "\n", "x" * 5000]
+    got = R.statistics(pa.array(texts))
+    for i, t in enumerate(texts):
+        for k, v in plain_statistics(t).items():
+            # a text without lines or words has no repeated ones
+            want = 0 if k == "repeated_lines" and not [x for x in (t or "").split("\n") if x] else v
+            assert abs(got[k][i] - want) < 1e-9 or (k == "repeated_lines" and not (t or "").strip("\n")), (k, t)
+
+
+def test_the_query_by_brute_force(spark):
+    """keep_good() against the list applied one document and one condition at a time."""
+    rows, labels = samples(500, 6)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = table(spark, rows + rows[:40] + [(None, rows[0][1]), (9000, None), (9001, "")])
+    kept = []
+    rules = R.fit(docs, lab)
+    for d in docs.collect():
+        st = plain_statistics(d.text)
+        if not any(all(st[c.statistic] >= c.value if c.at_least else st[c.statistic] <= c.value for c in rule) for rule in rules):
+            kept.append(str(d))
+    assert rules and 0 < len(kept) < docs.count() and sorted(map(str, R.keep_good(docs, lab).collect())) == sorted(kept)
+    assert [[str(c) for c in rule] for rule in rules] == [[str(c) for c in rule] for rule in R.fit(table(spark, rows[::-1]), lab)]  # repeats and order don't matter
+
+
+def test_the_first_condition_has_the_greatest_gain():
+    r = np.random.default_rng(3)
+    x = {"a": r.integers(0, 12, 200).astype(float), "b": r.random(200).round(1)}
+    y = (x["a"] >= 7) & (r.random(200) < 0.9)
+    best, p0 = 0, y.mean()
+    for v in x.values():
+        u = np.unique(v)
+        for t in (u[1:] + u[:-1]) / 2:
+            for m in (v >= t, v <= t):
+                if y[m].any():
+                    best = max(best, y[m].sum() * (np.log2(y[m].mean()) - np.log2(p0)))
+    c = R._grow(x, y, R.RuleConfig(thresholds=400))[0]
+    m = c.holds(x)
+    assert abs(y[m].sum() * (np.log2(y[m].mean()) - np.log2(p0)) - best) < 1e-9
+
+
 def test_awkward_rows_and_labels(spark):
     docs = awkward(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -82,6 +82,52 @@ def test_candidates_are_split_anywhere():
     assert [text[a:b] for a, b in zip(s, e)] == [KEY, "ab!defgh"] and kind.tolist() == [0, 0]
 
 
+def plain_candidates(text, cfg):
+    """Candidates of one text by their definition, a character at a time."""
+    raw, key = text.encode(), set(LETTERS + string.digits + "+/_-.=~")
+    wide = key | set("@!%^&*$")
+
+    def runs(table, more):
+        at = 0
+        while at < len(raw):
+            e = at
+            while e < len(raw) and (chr(raw[e]) in table and raw[e] < 128 or more and raw[e] >= 128):
+                e += 1
+            if e - at >= cfg.least_assigned:
+                s, given, body = at, False, raw[at:e].rstrip(b"=")
+                cut = body.rfind(b"=") + 1
+                if cut and len(body) - cut >= cfg.least_assigned:
+                    s, given = at + cut, True
+                b = s - 1
+                while b >= 0 and chr(raw[b]) in " \t\"'`":
+                    b -= 1
+                yield s, e, given or (b >= 0 and chr(raw[b]) in "=:")
+            at = max(e, at + 1)
+
+    out = [(s, e, 0 if g else 1) for s, e, g in runs(key, False) if g or (e - s >= cfg.least and any(48 <= c < 58 for c in raw[s:e]))]
+    for s, e, g in runs(wide, True):
+        if g and any(chr(c) not in key for c in raw[s:e]):
+            out = [c for c in out if c[1] <= s or c[0] >= e] + [(s, e, 0)]
+    return sorted(out)
+
+
+def test_findings_by_brute_force(spark):
+    """The query against candidates by definition, each scored by itself."""
+    r, cfg = random.Random(8), S.ScanConfig()
+    bits = ["a", "Z", "9", "=", ":", " ", "\"", "'", "!", "$", "é", "漢", "\n", "-", "/", "abcdefgh", "K7xQ2mV9pL", "password", "token", "0123456789abcdef", "  ", "."]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 60))) for _ in range(400)] + [t for t, _ in configured(150, 3)] + ["token=" + "Ab3" * 100]
+    net, (a, b), cut = S.trained(cfg)
+    want = []
+    for i, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        for s, e, k in plain_candidates(t, cfg):
+            best = max(net.scores(w[None])[0] for w in S.windows(raw, np.array([0, len(raw)]), np.array([s]), np.array([e]), cfg)[0])
+            if 1 / (1 + np.exp(-np.clip(a * best + b, -30, 30))) >= cut[k]:
+                want.append((i, len(t.encode()[:s].decode()), len(t.encode()[:e].decode()), S.KINDS[k]))
+    got = sorted((x.doc_id, x.start, x.end, x.kind) for x in S.scan(table(spark, list(enumerate(texts)))).collect())
+    assert got == sorted(want) and len(want) > 60
+
+
 def test_every_byte_of_a_long_candidate_is_seen():
     cfg = S.ScanConfig()
     text = bytes(33 + i % 90 for i in range(2000))
