@@ -3,6 +3,14 @@
 Every stage takes the rows that the one before it kept. Quality rules drop the documents that they reject, near
 dedup all but one of each group of copies, the secret scan masks secrets in place, mixing repeats or drops documents
 so that sources reach their shares, and encoding turns the texts into tokens.
+
+Defined results: a null text counts as an empty one for the rules; rows with a null doc_id, and texts that are null
+or without a word, belong to no group of copies and pass near dedup, where rows of equal doc_id count as one document
+and all go or stay; nothing is masked in null or empty texts; mixing gives rows with a null doc_id no copy, so that
+they end there, and rows of equal doc_id the same number each; a null source is a source of its own; a null text has
+null tokens. Texts of any length go through whole. Ties of copies go to the smallest doc_id. An empty table of
+documents gives an empty result, and without labels no document is rejected. Columns that documents have beyond those
+five stay as they are up to encoding, whatever their names.
 """
 
 from __future__ import annotations
