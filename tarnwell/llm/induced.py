@@ -1,13 +1,11 @@
-"""Suffix arrays with common-prefix values by external induced sorting, in batches of vector operations.
+"""Suffix arrays with common-prefix values by induced sorting in memory, in batches of vector operations.
 
 The text is a sequence of integers. Suffixes are of type S (smaller than the next) or L; an S after an L is an LMS
 suffix. LMS substrings are named in their order, the sequence of names is sorted by recursion, and from the sorted LMS
 suffixes first all L and then all S suffixes are induced: a priority queue holds tuples (first character, position,
-rank of the suffix that induced it); what is taken from it in order of character and arrival is in suffix order.
-
-A queue keeps sorted runs. Beyond `memory` tuples the runs in memory are merged and go to a file in the shared
-folder, to be read again block by block. The queue is emptied in batches: as many tuples as can't be overtaken by
-what they induce themselves, some thousands at once.
+rank of the suffix that induced it); what is taken from it in order of character and arrival is in suffix order. The
+queue is emptied in batches: as many tuples as can't be overtaken by what they induce themselves, some thousands at
+once. external.py does the same where the text doesn't fit in memory.
 
 Common prefixes are carried along: of two neighbours that were induced, it is 1 more than the least of those between
 the suffixes that induced them (a range minimum over what has been scanned); where L and S meet in a bucket it is
@@ -17,10 +15,7 @@ order gives the neighbours and their prefixes are compared directly.
 
 from __future__ import annotations
 
-from typing import Any
-
 import numpy as np
-import pyarrow.fs as pafs
 
 _BLOCK = 32
 
@@ -81,79 +76,46 @@ class RangeMin:
         return out
 
 
-class _Run:
-    """A sorted run: columns in memory, or blocks of a file of which the next are in memory."""
-
-    def __init__(self, columns: list[np.ndarray], file: Any = None, rest: int = 0) -> None:
-        self.columns, self.file, self.rest, self.at = columns, file, rest, 0
-
-    def __len__(self) -> int:
-        return len(self.columns[0]) - self.at + self.rest
-
-    def head(self, n: int) -> list[np.ndarray]:
-        while self.rest and len(self.columns[0]) - self.at < n:
-            k = min(self.rest, max(n, 1 << 15))
-            new = np.frombuffer(self.file.read(24 * k), np.int64).reshape(k, 3).T
-            self.columns = [np.concatenate([c[self.at :], x]) for c, x in zip(self.columns, new, strict=True)]
-            self.at, self.rest = 0, self.rest - k
-            if not self.rest:
-                self.file.close()
-        return [c[self.at : self.at + n] for c in self.columns]
-
-
 class Queue:
     """Tuples (key, position, rank), taken by key and, among equal keys, in the order they came."""
 
-    def __init__(self, memory: int, folder: str | None) -> None:
-        self.memory, self.folder, self.disk, self.runs, self.files = memory, folder, [], [], 0
+    def __init__(self) -> None:
+        self.runs: list[list[np.ndarray]] = []
+        self.at: list[int] = []
+
+    def _rest(self, k: int) -> int:
+        return len(self.runs[k][0]) - self.at[k]
 
     def push(self, key: np.ndarray, pos: np.ndarray, rank: np.ndarray) -> None:
         if not len(key):
             return
         o = np.argsort(key, kind="stable")
-        self.runs.append(_Run([key[o], pos[o], rank[o]]))
-        while len(self.runs) > 1 and 2 * len(self.runs[-1]) >= len(self.runs[-2]):
-            self._merge(2)
-        if self.folder and sum(map(len, self.runs)) > self.memory:
-            self._merge(len(self.runs))
-            self._spill(self.runs.pop())
-
-    def _merge(self, n: int) -> None:
-        parts = [r.head(len(r)) for r in self.runs[-n:]]
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        o = np.argsort(columns[0], kind="stable")
-        self.runs[-n:] = [_Run([c[o] for c in columns])]
-
-    def _spill(self, run: _Run) -> None:
-        fs, base = pafs.FileSystem.from_uri(self.folder)
-        name = f"{base}/run{self.files}"
-        self.files += 1
-        columns = run.head(len(run))
-        with fs.open_output_stream(name, compression=None) as f:
-            for i in range(0, len(columns[0]), 1 << 18):
-                f.write(np.ascontiguousarray(np.stack([c[i : i + (1 << 18)] for c in columns], 1)).tobytes())
-        self.disk.append(_Run([np.zeros(0, np.int64)] * 3, fs.open_input_stream(name, compression=None), len(columns[0])))
+        self.runs.append([key[o], pos[o], rank[o]])
+        self.at.append(0)
+        while len(self.runs) > 1 and 2 * self._rest(-1) >= self._rest(-2):
+            columns = [np.concatenate([c[self.at[-2] :], d[self.at[-1] :]]) for c, d in zip(self.runs[-2], self.runs[-1], strict=True)]
+            o = np.argsort(columns[0], kind="stable")
+            self.runs[-2:], self.at[-2:] = [[c[o] for c in columns]], [0]
 
     def peek(self, n: int) -> tuple[np.ndarray, ...]:
         """The first n tuples and the run of each."""
-        runs = self.disk + self.runs
-        parts = [r.head(n) for r in runs]
-        if not parts:
+        if not self.runs:
             z = np.zeros(0, np.int64)
             return z, z, z, z
+        parts = [[c[a : a + n] for c in r] for r, a in zip(self.runs, self.at, strict=True)]
         key, pos, rank = (np.concatenate(c) for c in zip(*parts, strict=True))
-        which = np.repeat(np.arange(len(runs)), [len(p[0]) for p in parts])
+        which = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         o = np.argsort(key, kind="stable")[:n]
         return key[o], pos[o], rank[o], which[o]
 
     def take(self, which: np.ndarray) -> None:
-        runs = self.disk + self.runs
-        for r, k in zip(runs, np.bincount(which, minlength=len(runs)), strict=True):
-            r.at += int(k)
-        self.disk, self.runs = [r for r in self.disk if len(r)], [r for r in self.runs if len(r)]
+        for r, k in enumerate(np.bincount(which, minlength=len(self.runs))):
+            self.at[r] += int(k)
+        left = [r for r in range(len(self.runs)) if self._rest(r)]
+        self.runs, self.at = [self.runs[r] for r in left], [self.at[r] for r in left]
 
 
-def _scan(value: np.ndarray, wanted: np.ndarray, run: np.ndarray | None, seeds: np.ndarray, seed_lcp: np.ndarray | None, memory: int, folder: str | None) -> tuple[np.ndarray, np.ndarray | None]:
+def _scan(value: np.ndarray, wanted: np.ndarray, run: np.ndarray | None, seeds: np.ndarray, seed_lcp: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Seeds and all that they induce, in order of value: (positions, prefix in common with the one before).
 
     wanted[i]: suffix i is of the type to be induced. Among equal first values the induced come before the seeds.
@@ -162,7 +124,7 @@ def _scan(value: np.ndarray, wanted: np.ndarray, run: np.ndarray | None, seeds:
     out = np.empty(total, np.int64)
     lcp = np.zeros(total, np.uint8) if run is not None else None
     least = RangeMin(total) if run is not None else None
-    queue = Queue(memory, folder)
+    queue = Queue()
     seed_key = 2 * value[seeds] + 1
     done, used, size = 0, 0, 512
     last_key, last_rank, last_pos = -5, 0, 0
@@ -246,11 +208,8 @@ def _common(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray, with_lcp: bool = True, memory: int = 1 << 21, folder: str | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """(suffixes in order, prefix that each has in common with the one before, at most 255).
-
-    text: integers from 0. memory: tuples that a queue holds before it writes runs to folder (None: never).
-    """
+def suffix_array(text: np.ndarray, with_lcp: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """(suffixes in order, prefix that each has in common with the one before, at most 255). text: integers from 0."""
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint8)
@@ -265,14 +224,14 @@ def suffix_array(text: np.ndarray, with_lcp: bool = True, memory: int = 1 << 21,
         name = _names(t, small.astype(np.int64), lms)
         order = np.argsort(name, kind="stable")
         if len(lms) > 1 and (np.diff(name[order]) == 0).any():
-            order, _ = suffix_array(name, False, memory, folder)
+            order, _ = suffix_array(name, False)
         seeds = np.concatenate([[n], lms[order]])
     else:
         seeds = np.concatenate([[n], lms])
     seed_lcp = None
     if with_lcp:
         seed_lcp = np.concatenate([[0], _common(t, seeds[:-1], seeds[1:])]).astype(np.uint8)
-    large, l_lcp = _scan(t, ~small, run if with_lcp else None, seeds, seed_lcp, memory, folder)
+    large, l_lcp = _scan(t, ~small, run if with_lcp else None, seeds, seed_lcp)
     at = np.flatnonzero(~small[large])
     down = large[at][::-1]
     if with_lcp:
@@ -283,7 +242,7 @@ def suffix_array(text: np.ndarray, with_lcp: bool = True, memory: int = 1 << 21,
     top = int(t.max())
     wanted = small.copy()
     wanted[n] = False
-    out, lcp = _scan(top - t, wanted, run if with_lcp else None, down, seed_lcp, memory, folder)
+    out, lcp = _scan(top - t, wanted, run if with_lcp else None, down, seed_lcp)
     if lcp is not None:
         lcp = np.concatenate([[0], lcp[1:][::-1]]).astype(np.uint8)
     return out[::-1], lcp

@@ -6,15 +6,17 @@ around it, at least a passage long on either side as far as the anchor is the le
 to shards by their anchor. Anchors of a single document can't be part of a repeat and stay behind; equal segments of
 an anchor are one string, of which the first holder stands for all (the others repeat it as they are).
 
-Of each shard's segments the suffix array with common prefixes is built by external induced sorting (induced.py).
-Suffixes in a row that have a passage's words in common are occurrences of one passage; the one in the smallest
-document is the source of the others. At the end occurrences that go on along a diagonal are joined.
+Of each shard's segments the suffix array with common prefixes is built by induced sorting: in memory where the shard
+fits (induced.py), else with all that is as long as the text in files of the shared folder (external.py); a single
+anchor, which can't be divided, may be many times as large as memory. Suffixes in a row that have a passage's words in
+common are occurrences of one passage; the one in the smallest document is the source of the others. At the end
+occurrences that go on along a diagonal are joined.
 
 Words are compared by 64-bit hashes when segments are equal, and by 32 bits of each word in the suffix arrays (two
 different passages would have to agree in all of them).
 
-Defined results: rows with a null doc_id or text have no passages, and texts of fewer words neither; rows of equal
-doc_id are one document (repeats within one document are not reported); the source is always of a smaller doc_id;
+Defined results: rows with a null doc_id or text have no passages, and texts of fewer words neither; texts of any
+length are cut whole; rows of equal doc_id are one document (repeats within one document are not reported); the source is always of a smaller doc_id;
 an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -32,18 +34,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import external as X
 from .induced import suffix_array
+
+#: Bytes that sorting in memory takes by word.
+_WORD_BYTES = 120
 from .windows import WindowConfig, compact_windows
 
 
 @dataclass(frozen=True)
 class SuffixConfig:
-    """min_words: shortest passage (at most 254); shard_words: words of a shard, about; memory: tuples that a queue holds before it uses disk."""
+    """min_words: shortest passage (at most 254); shard_words: words of a shard, about; memory: bytes that a shard's sorting holds before it uses disk."""
 
     min_words: int = 50
     shingle: int = 6
     shard_words: int = 2_000_000
-    memory: int = 1 << 20
+    memory: int = 256 << 20
     seed: int = 31
 
     def __post_init__(self) -> None:
@@ -84,7 +90,7 @@ def segment_table(docs: DataFrame, cfg: SuffixConfig) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "key long, seg long, doc_id long, place long")
 
 
-def shard_repeats(doc: np.ndarray, start: np.ndarray, words: np.ndarray, count: np.ndarray, cfg: SuffixConfig, folder: str | None) -> tuple[np.ndarray, ...]:
+def shard_repeats(doc: np.ndarray, start: np.ndarray, words: np.ndarray, count: np.ndarray, cfg: SuffixConfig) -> tuple[np.ndarray, ...]:
     """(document, place, source, place in it) of all passages of min_words in one shard that a smaller document has.
 
     words: 32-bit words of the segments, one after another; count: words of each; start: its place in its document.
@@ -98,7 +104,7 @@ def shard_repeats(doc: np.ndarray, start: np.ndarray, words: np.ndarray, count:
     body[end] = False
     text[body] = words.astype(np.int64) + n
     text[end] = np.arange(n)  # separators differ, so that no common prefix goes beyond a segment
-    sa, lcp = suffix_array(text, True, cfg.memory, folder)
+    sa, lcp = suffix_array(text)
     linked = lcp >= cfg.min_words
     head = np.flatnonzero(linked & ~np.concatenate([[False], linked[:-1]])) - 1  # a group starts one before its first link
     inside = linked.copy()
@@ -118,29 +124,57 @@ def shard_repeats(doc: np.ndarray, start: np.ndarray, words: np.ndarray, count:
     return d[ok], place[ok], src[ok], at[ok]
 
 
+def large_repeats(doc: np.ndarray, start: np.ndarray, path: str, count: np.ndarray, cfg: SuffixConfig, folder: X.Folder) -> Iterator[tuple[np.ndarray, ...]]:
+    """shard_repeats() of words in a file, some at a time. Documents, places and sizes of segments are in memory, and a source for each repeated passage."""
+    edge = np.concatenate([[0], np.cumsum(count)])
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        with folder.fs.open_input_stream(path, compression=None) as f:
+            for a, b in C._slices(edge, 1 << 15):
+                yield np.frombuffer(f.read(4 * int(edge[b] - edge[a])), np.uint32).astype(np.int64), np.arange(a, b), count[a:b]
+
+    level = X.Level(blocks, len(doc), folder, cfg.memory)
+    kind = np.dtype([("doc", "<i8"), ("place", "<i8"), ("group", "<i8")])
+    stored, least, group, before = [], [], -1, None  # least: (document, place) of each group's source; before: the suffix that a group may start with
+    for r, _, lcp in X.suffixes_down(level, True):
+        seg, at = r["id"] >> X._BITS, r["id"] & ((1 << X._BITS) - 1)
+        d, p, linked = doc[seg], start[seg] + at, lcp >= cfg.min_words
+        if before is not None:
+            d, p, linked = np.append(before[0], d), np.append(before[1], p), np.append(before[2], linked)
+        before = (d[-1], p[-1], linked[-1])
+        d, p, inside, nxt = d[:-1], p[:-1], linked[:-1], linked[1:]  # of the last it isn't known yet whether it starts a group
+        opens = ~inside & nxt
+        keep = inside | nxt
+        if keep.any():
+            g = group + np.cumsum(opens)
+            group = int(g[-1])
+            out = np.zeros(int(keep.sum()), kind)
+            out["doc"], out["place"], out["group"] = d[keep], p[keep], g[keep]
+            o = np.lexsort([out["place"], out["doc"], out["group"]])
+            first = o[np.concatenate([[True], np.diff(out["group"][o]) > 0])]
+            for x in out[first].tolist():
+                if x[2] == len(least):
+                    least.append(x[:2])
+                else:
+                    least[x[2]] = min(least[x[2]], x[:2])
+            stored.append((folder.write(out), len(out)))
+    if before is not None and before[2]:
+        x = (int(before[0]), int(before[1]))
+        least[group] = min(least[group], x)
+        stored.append((folder.write(np.array([(*x, group)], kind)), 1))
+    source = np.array(least, np.int64).reshape(-1, 2)
+    for name, n in stored:
+        with folder.fs.open_input_stream(name, compression=None) as f:
+            x = np.frombuffer(f.read(n * kind.itemsize), kind)
+        d, p, src, at = x["doc"], x["place"], *source[x["group"]].T
+        ok = d != src
+        yield d[ok], p[ok], src[ok], at[ok]
+
+
 def _repeats(cfg: SuffixConfig, folder: str):
     """mapInArrow: a partition of (key, doc_id, start, words) is a shard."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, start, words, count = [], [], [], []
-        for b in batches:
-            if b.num_rows:
-                buf, off = C.raw(b.column("words").cast(pa.large_binary()))
-                words.append(buf[off[0] : off[-1]].view(np.uint32).copy())
-                count.append(np.diff(off) // 4)
-                doc.append(C.ids_of(b.column("doc_id")))
-                start.append(C.ids_of(b.column("start")))
-        if not doc:
-            return
-        fs, base = pafs.FileSystem.from_uri(folder)
-        own = f"{base}/{uuid.uuid4().hex}"
-        fs.create_dir(own, recursive=True)
-        try:
-            uri = f"{folder}/{own.rpartition('/')[2]}"
-            d, p, s, q = shard_repeats(*(np.concatenate(x) for x in (doc, start, words, count)), cfg, uri)
-        finally:
-            with contextlib.suppress(OSError):
-                fs.delete_dir(own)
+    def joined(d: np.ndarray, p: np.ndarray, s: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(d):
             o = np.lexsort([p, p - q, s, d])  # join what goes on along a diagonal, as far as this shard has it
             d, p, s, q = d[o], p[o], s[o], q[o]
@@ -151,6 +185,43 @@ def _repeats(cfg: SuffixConfig, folder: str):
                 x, y = i[a : a + (1 << 16)], last[a : a + (1 << 16)]
                 yield C.batch_of(doc_id=d[x], start_word=p[x], end_word=p[y] + cfg.min_words, source_doc=s[x], source_start=q[x])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, start, words, count, total = [], [], [], [], 0
+        own, path, file = None, "", None
+        try:
+            for b in batches:
+                if b.num_rows:
+                    buf, off = C.raw(b.column("words").cast(pa.large_binary()))
+                    words.append(buf[off[0] : off[-1]].view(np.uint32).copy())
+                    count.append(np.diff(off) // 4)
+                    doc.append(C.ids_of(b.column("doc_id")))
+                    start.append(C.ids_of(b.column("start")))
+                    total += len(words[-1])
+                    if total * _WORD_BYTES > cfg.memory:
+                        if file is None:
+                            uri = f"{folder}/{uuid.uuid4().hex}"
+                            fs, base = pafs.FileSystem.from_uri(uri)
+                            fs.create_dir(base, recursive=True)
+                            own = X.Folder(uri)
+                            path = own.new()
+                            file = own.fs.open_output_stream(path, compression=None)
+                        for w in words:
+                            file.write(w.tobytes())
+                        words = []
+            if not doc:
+                return
+            doc, start, count = (np.concatenate(x) for x in (doc, start, count))
+            if file is None:
+                yield from joined(*shard_repeats(doc, start, np.concatenate(words), count, cfg))
+            else:
+                file.close()
+                for part in large_repeats(doc, start, path, count, cfg, own):
+                    yield from joined(*part)
+        finally:
+            if own is not None:
+                with contextlib.suppress(OSError):
+                    own.fs.delete_dir(own.base)
+
     return run
 
 

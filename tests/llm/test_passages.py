@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tarnwell.llm import common as C
-from tarnwell.llm import suffixes, windows
+from tarnwell.llm import external, suffixes, windows
 from tarnwell.llm.induced import RangeMin, suffix_array
 
 from .helpers import awkward, empty, table, words
@@ -184,18 +184,70 @@ def brute_suffixes(t):
     return sa, lcp[: len(t)]
 
 
-@pytest.mark.parametrize("spill", [False, True])
-def test_suffix_array_and_common_prefixes(tmp_path, spill):
+def test_suffix_array_and_common_prefixes():
     r = np.random.default_rng(1)
     for n in [*range(0, 30), 100, 300, 600]:
         for k in (1, 2, 4, 40):
             t = r.integers(0, k, n)
             if n % 3 == 0:
                 t = np.tile(t[: max(1, n // 6)], 6)[:n]
-            sa, lcp = suffix_array(t, True, 16 if spill else 1 << 20, f"file://{tmp_path}" if spill else None)
+            sa, lcp = suffix_array(t)
             want = brute_suffixes(t)
             assert sa.tolist() == want[0] and lcp.tolist() == want[1]
-    assert bool(list(tmp_path.iterdir())) == spill
+
+
+def level_of(segs, folder, memory):
+    count, cut = np.array([len(x) for x in segs]), max(1, len(segs) // 2)
+
+    def blocks():
+        for a, b in ((0, cut), (cut, len(segs))):
+            if b > a:
+                yield np.concatenate(segs[a:b]), np.arange(a, b), count[a:b]
+
+    return external.Level(blocks, len(segs), folder, memory)
+
+
+@pytest.mark.parametrize("memory", [1, 40_000])  # all through files, and the deeper levels in memory
+def test_external_sorting_by_brute_force(tmp_path, memory):
+    r, folder = np.random.default_rng(4), external.Folder(f"file://{tmp_path}")
+    for trial in range(40):
+        segs = [r.integers(0, int(r.integers(1, 8)), int(r.integers(1, 30))) for _ in range(int(r.integers(1, 12)))]
+        if trial % 3 == 0:
+            segs = [segs[int(r.integers(len(segs)))] for _ in segs]
+        want = sorted(((10**6 + x[o:]).tolist() + [s - 10**9], s, o) for s, x in enumerate(segs) for o in range(len(x)))
+        got = []
+        for rec, _, lcp in external.suffixes_down(level_of(segs, folder, memory), True):
+            got += zip((rec["id"] >> external._BITS).tolist(), (rec["id"] & 1023).tolist(), lcp.tolist(), strict=True)
+        assert [(s, o) for s, o, _ in got[::-1]] == [(s, o) for _, s, o in want]
+        common = lambda a, b: next(i for i, (x, y) in enumerate(zip(a, b)) if x != y)
+        assert [n for _, _, n in got[1:]] == [common(want[i][0], want[i - 1][0]) for i in range(len(want) - 1, 0, -1)]
+
+
+def test_queues_use_files_and_keep_the_order(tmp_path):
+    r, dtype = np.random.default_rng(6), np.dtype([("key", "<i8"), ("n", "<i8")])
+    folder = external.Folder(f"file://{tmp_path}")
+    q, every, n = external.Queue(dtype, folder, 1), [], 0
+    for _ in range(90):
+        x = np.zeros(int(r.integers(0, 900)), dtype)
+        x["key"], x["n"] = r.integers(0, 60, len(x)), np.arange(n, n + len(x))
+        n += len(x)
+        every.append(x)
+        q.push(x)
+    every = np.concatenate(every)
+    assert folder.written > 30_000
+    got = np.concatenate(list(q.blocks()))
+    assert got["n"].tolist() == every["n"][np.argsort(every["key"], kind="stable")].tolist() and not list(tmp_path.iterdir())
+
+
+def test_a_shard_larger_than_memory(spark):
+    """All words in one shard of more than ten times the memory: the same passages as in memory."""
+    rows = corpus()
+    total = sum(len(t.split()) for _, t in rows)
+    big = suffixes.repeated_passages(table(spark, rows)).collect()
+    small = suffixes.repeated_passages(table(spark, rows), suffixes.SuffixConfig(memory=total)).collect()  # where 120 bytes a word are needed
+    assert sorted(map(tuple, big)) == sorted(map(tuple, small)) and len(big) > 20
+    missed, found = uncovered(rows, small)
+    assert found > 500 and missed == 0
 
 
 def test_range_minima():
