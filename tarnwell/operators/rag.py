@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -104,6 +105,16 @@ def response(queries: DataFrame, results: DataFrame) -> DataFrame:
     return df.select("query_id", F.to_json(F.struct(F.transform("r", lambda s: s.dropFields("rank")).alias("results"))).alias("body"))
 
 
+def as_json(df: DataFrame) -> DataFrame:
+    """(body): each row as a JSON object of its columns, as a server answers with counts, health or metrics."""
+    return df.select(F.to_json(F.struct("*")).alias("body"))
+
+
+def failure(message: str) -> str:
+    """The body of an answer to a request that can't be served."""
+    return json.dumps({"error": message}, separators=(",", ":"))
+
+
 def search_tool(chunks: DataFrame, embed: Embed, cfg: PipelineConfig = PipelineConfig(), metric: str = "l2") -> Callable[..., str]:
     """A function (query, top_k=5) for an agent: the text of tool_output(); ValueError for an empty query."""
     spark = chunks.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 
@@ -409,6 +410,22 @@ def save_load_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("vec_id", "label", F.size("embedding").alias("n"), F.lit(cfg.dim).alias("dim"))
 
 
+def saved_graphs_top10(spark: SparkSession, d: str) -> DataFrame:
+    """Search in an index that was saved with its graphs and loaded again."""
+    path = store.folder(spark)
+    store.save(_vectors(spark, d), path, GRAPH, graphs=_graphs(spark, d))
+    _, cfg = store.load(spark, path)
+    return rounded(hnsw.find(_queries(spark, d), store.load_graphs(spark, path), 10, cfg), "distance", "score")
+
+
+def json_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies of a server's other answers: counts of an ingestion, health, averages by stage, a failure."""
+    docs = table(spark, d, "documents")
+    parts = [rag.as_json(ingest.counts(docs, text.chunks(docs))).withColumn("what", F.lit("counts")), rag.as_json(index_health(spark, d)).withColumn("what", F.lit("health"))]
+    parts += [rag.as_json(metrics_rollup(spark, d)).withColumn("what", F.lit("metrics")), spark.createDataFrame([(rag.failure("the query is missing"), "failure")], "body string, what string")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     v = store.import_binary(store.export_binary(_vectors(spark, d), IndexConfig(dim=DIM)), "data")
     return rounded(v.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double")), "x")
@@ -453,7 +470,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         directory_source, config_settings, api_embedding, prefix_inserts, complete_limited, mixed_averages, chunk_default, chunk_64_8, chunk_ids, ingest_counts, mock_embed_64, fnv1a_prefix_hash,
         retrieve_top3, retrieve_rerank, keyword_hits, augment_prompt, tool_output, rag_query_stub,
         prefix_longest, prefix_hit_stats, prefix_node_hits, batch_assign, batch_stats, complete_requests, metrics_rollup, latency_summary,
-        ingest_raw_vectors, documents_json_ingest, save_load_roundtrip, binary_roundtrip, base_urls, index_health, stream_batches, stream_ingest,
+        ingest_raw_vectors, documents_json_ingest, save_load_roundtrip, saved_graphs_top10, json_answers, binary_roundtrip, base_urls, index_health, stream_batches, stream_ingest,
     )
 }
 

@@ -131,6 +131,12 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT g.src, n.i, chosen, rest, {{'id': id, 'd': d, 'e': n.e}} AS c, len(chosen) >= 8 OR len(list_filter(chosen, lambda o: list_sum(list_transform(list_zip(o.e, n.e), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) < d)) > 0 AS far FROM g JOIN n ON n.src = g.src AND n.i = g.i + 1)),
       l AS (SELECT src, list_concat(chosen, rest)[1:8] AS l FROM g WHERE i = 24)
       SELECT src, CAST(rank AS INT) AS rank, l[rank].id AS dst, {_r('l[rank].d')} AS distance FROM (SELECT src, l, unnest(range(1, 9)) AS rank FROM l)""",
+    "saved_graphs_top10": f"SELECT query_id, rank, id, {_r('d')} AS distance, {_r(_SCORE)} AS score FROM ({_top(_L2, 10, True)})",
+    "json_answers": f"""WITH RECURSIVE {_chunks(512, 64)}, c AS (SELECT count(*) AS n FROM r)
+      SELECT 'counts' AS what, printf('{{"documents_indexed":%d,"chunks_created":%d,"vectors_inserted":%d}}', (SELECT count(*) FROM documents), n, n) AS body FROM c
+      UNION ALL SELECT 'health', printf('{{"status":"ok","index_size":%d,"chunks":%d}}', (SELECT count(*) FROM embeddings), n) FROM c
+      UNION ALL SELECT 'metrics', printf('{{"stage":"%s","n":%d,"total_us":%d,"avg_us":%d}}', event_type, count(*), CAST(coalesce(sum(us), 0) AS BIGINT), CAST(coalesce(sum(us), 0) // count(*) AS BIGINT)) FROM (SELECT event_type, CAST(floor(value * 1000) AS BIGINT) AS us FROM events) GROUP BY event_type
+      UNION ALL SELECT 'failure', '{{"error":"the query is missing"}}'""",
     "reverse_connect": f"""WITH g AS ({_top(_L2, 8, False)}), e AS (SELECT query_id AS src, id AS dst, d FROM g UNION SELECT id, query_id, d FROM g)
       SELECT src, rank, dst, {_r('d')} AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY d, dst) AS INT) AS rank FROM e) WHERE rank <= 16""",
     "chunk_default": f"WITH RECURSIVE {_chunks(512, 64)} SELECT doc_id, idx AS chunk_idx, substr(text, pos + 1, e - pos) AS text FROM r",

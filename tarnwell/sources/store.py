@@ -64,8 +64,10 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def save(vectors: DataFrame, path: str, cfg: IndexConfig, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
-    """Writes the table with all its columns, texts too, and the settings."""
+def save(vectors: DataFrame, path: str, cfg: IndexConfig, mode: str = "errorifexists", partition_by: list[str] | None = None, graphs: DataFrame | None = None) -> None:
+    """Writes the table with all its columns, texts too, the settings, and the graphs of hnsw.build() if they are given."""
+    if graphs is not None:
+        graphs.write.mode(mode).parquet(f"{path}/graphs")
     writer = vectors.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/data")
     meta = {f: getattr(cfg, f) for f in cfg.__dataclass_fields__}
@@ -85,6 +87,11 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, IndexConfig]:
     return spark.read.parquet(f"{path}/data"), IndexConfig(**json.loads(row.settings))
 
 
+def load_graphs(spark: SparkSession, path: str) -> DataFrame:
+    """The graphs that were saved with an index, for hnsw.find(); nothing is built."""
+    return spark.read.parquet(f"{path}/graphs")
+
+
 MAGIC = b"TWIX"
 _HEAD, _HEAD_SIZE = "<4sIIIII", 24
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.config import ChunkConfig, IndexConfig, PipelineConfig
+from tarnwell.functions import hashing, text
 from tarnwell.functions.hashing import hash_embed
 from tarnwell.operators import batching, metrics, prefix, rag
 from tarnwell.sources import embedding_api, ingest, store
@@ -186,3 +187,48 @@ def test_response_and_tool(spark):
     assert search("graph", 2).startswith("Found 2 relevant passages:")
     with pytest.raises(ValueError):
         search("")
+
+
+def test_bodies_bring_their_own_chunk_sizes(spark):
+    text_ = "word " * 400
+    body = [json.dumps({"documents": [{"id": "a", "text": text_}], "chunk_size": 64, "chunk_overlap": 8}), json.dumps({"documents": [{"id": "b", "text": text_}]})]
+    docs = ingest.json_documents(spark.createDataFrame([(b,) for b in body], "body string"))
+    got = {}
+    for r in text.chunks(docs, sizes=("chunk_size", "chunk_overlap")).collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    want = {"a": ChunkConfig(64, 8), "b": ChunkConfig()}
+    assert got == {k: [text_[a:b] for a, b in text.chunk_bounds(text_, c)] for k, c in want.items()}
+    with pytest.raises(Exception, match="chunk_overlap"):
+        text.chunks(docs.withColumn("chunk_overlap", F.lit(60)), sizes=("chunk_size", "chunk_overlap")).collect()
+
+
+def test_one_document_and_timed_ingestion(spark, tmp_path):
+    assert text.chunks(ingest.single(spark, 5, "")).collect() == [] and [r.doc_id for r in text.chunks(ingest.single(spark, "x", "some text")).collect()] == ["x"]
+    got = ingest.index(ingest.single(spark, 5, ""), str(tmp_path / "i"), lambda c: hashing.hash_embed(c, 4)).first()
+    assert (got.documents_indexed, got.chunks_created, got.vectors_inserted) == (1, 0, 0) and got.time_ms > 0
+
+
+def test_base_urls_match_as_a_whole(spark):
+    urls = ["http://host:80abc", "http://a:b/v1", "https://h/v1/", "http://h:8080", "ftp://h", "http://h:99999999999", "http://h\n", None]
+    got = [r.p and tuple(r.p) for r in spark.createDataFrame([(u,) for u in urls], "u string").select(ingest.parse_base_url(F.col("u")).alias("p")).collect()]
+    assert got == [None, None, ("https", "h", 443, "/v1"), ("http", "h", 8080, ""), None, ("http", "h", None, ""), ("http", "h\n", 80, ""), None]
+
+
+def test_batches_of_one_hot_group(spark):
+    rows = [(i, None if i % 7 == 0 else "", f"p{i}") for i in range(500)]
+    got = batching.assign(spark.createDataFrame(rows, "req_id long, system_message string, prompt string").repartition(5)).collect()
+    for value in (None, ""):
+        mine = sorted((r.req_id, r.batch_no, r.pos) for r in got if r.system_message == value)
+        assert [(b, p) for _, b, p in mine] == [(i // 32, i % 32) for i in range(len(mine))] and len(mine) in (72, 428)
+
+
+def test_stage_times(spark):
+    embed = lambda c: hashing.hash_embed(c, 8)
+    chunks = ingest.chunk_table(spark.createDataFrame([(1, "a text"), (2, "another")], "doc_id long, text string"), embed)
+    asked = spark.createDataFrame([(0, "a text"), (1, "")], "query_id long, query string")
+    out, took = rag.timed_query(asked, chunks, embed, lambda p: F.length(p).cast("string"))
+    t = took.first()
+    assert t.queries == 2 and t.total_us == t.embed_us + t.search_us + t.generate_us + t.overhead_us and min(t.embed_us, t.search_us, t.generate_us, t.overhead_us) > 0
+    plain = rag.query(asked, chunks, embed, lambda p: F.length(p).cast("string"))
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+    assert rag.timed_query(asked, chunks, embed)[1].first().generate_us == 0
