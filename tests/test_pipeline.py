@@ -232,3 +232,17 @@ def test_stage_times(spark):
     plain = rag.query(asked, chunks, embed, lambda p: F.length(p).cast("string"))
     assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
     assert rag.timed_query(asked, chunks, embed)[1].first().generate_us == 0
+
+
+def test_a_stopped_stream_goes_on_where_it_was(spark, tmp_path):
+    put = lambda ids: spark.createDataFrame([(i, f"p{i}", "") for i in ids], "req_id long, prompt string, system_message string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([1, 2])
+
+    def serve(llm):
+        stream = spark.readStream.schema("req_id long, prompt string, system_message string").parquet(str(tmp_path / "in"))
+        batches.serve(stream, str(tmp_path / "out"), str(tmp_path / "state"), llm, once=True, limited=False).awaitTermination()
+        return sorted((r.req_id, r.answer) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert serve(lambda p, s: f"first {p}") == [(1, "first p1"), (2, "first p2")]
+    put([3])  # queued while nothing runs
+    assert serve(lambda p, s: f"second {p}") == [(1, "first p1"), (2, "first p2"), (3, "second p3")]
