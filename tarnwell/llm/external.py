@@ -338,7 +338,7 @@ def _ranks(level: Level) -> Iterator[np.ndarray]:
 
     def segments() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         rest = np.zeros(0, names.dtype)
-        for block in [*(()), *[None]] if not stored else _with_end(text()):
+        for block in _with_end(text()):
             both = rest if block is None else np.concatenate([rest, block])
             seg = both["key"] >> _BITS
             n = len(both) if block is None else int(np.searchsorted(seg, seg[-1], "left"))  # the last may go on
@@ -363,6 +363,7 @@ def _ranks(level: Level) -> Iterator[np.ndarray]:
 
 
 def _with_end(blocks: Iterator[np.ndarray]) -> Iterator[np.ndarray | None]:
+    """The blocks, and None after the last."""
     yield from blocks
     yield None
 
