@@ -1,5 +1,10 @@
+import os
+
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from tarnwell.llm import common as C
 
@@ -33,3 +38,21 @@ def test_components(spark):
 
 def test_fresh(spark):
     assert C.fresh(spark.createDataFrame([(1, 2)], "_N int, __n int"), "_n") == "___n"
+
+
+def test_lists_have_a_bound(spark):
+    df = spark.range(6000).selectExpr("if(id < 5990, 1, 2) AS k", "id AS v")
+    got = C.lists(df, "k", df["v"], "vs", 500).collect()
+    assert max(len(r.vs) for r in got) < 800 and sorted(v for r in got for v in r.vs) == list(range(6000)) and [sorted(r.vs) for r in got if r.k == 2] == [list(range(5990, 6000))]
+
+
+def test_durable_tables(spark):
+    before = spark.conf.get(C._CLEAN)
+    t = C.durable(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert spark.conf.get(C._CLEAN) == before and t.agg(F.sum("count")).first()[0] == 100
+    files = t.inputFiles()
+    C.drop_durable(t)
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    with pytest.raises(AnalysisException):
+        C.durable(spark.range(3).select("nothing"), "t")
+    assert spark.conf.get(C._CLEAN) == before
