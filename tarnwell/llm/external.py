@@ -84,22 +84,15 @@ class Queue:
         if not len(records):
             return
         self.runs.append(_Run(records[np.argsort(records["key"], kind="stable")]))
-        while len(self.runs) > 1 and 2 * len(self.runs[-1]) >= len(self.runs[-2]):
-            self._merge(2)
+        while len(self.runs) > 1 and 2 * len(self.runs[-1]) >= len(self.runs[-2]) and 8 * (len(self.runs[-1]) + len(self.runs[-2])) <= self.most:
+            both = np.concatenate([r.head(len(r)) for r in self.runs[-2:]])
+            self.runs[-2:] = [_Run(both[np.argsort(both["key"], kind="stable")])]
         if sum(map(len, self.runs)) > self.most:
-            self._merge(len(self.runs))
-            run = self.runs.pop()
-            self.disk.append(self._file(run.head(len(run))))
+            self.disk.append(self._joined(self.runs))  # block by block, so that nothing is in memory twice
+            self.runs = []
             if len(self.disk) >= 24:  # so that a merge never has many blocks in memory
                 self.disk = [self._joined(self.disk)]
 
-    def _file(self, records: np.ndarray) -> _Run:
-        return _Run(np.zeros(0, self.dtype), self.folder, self.folder.write(records), len(records))
-
-    def _merge(self, n: int) -> None:
-        both = np.concatenate([r.head(len(r)) for r in self.runs[-n:]])
-        self.runs[-n:] = [_Run(both[np.argsort(both["key"], kind="stable")])]
-
     def _joined(self, runs: list[_Run]) -> _Run:
         total, name = sum(map(len, runs)), self.folder.new()
         with self.folder.fs.open_output_stream(name, compression=None) as f:
@@ -130,9 +123,9 @@ class Queue:
 
 
 def _merged(runs: list[_Run], most: int) -> Iterator[np.ndarray]:
-    """The records of the runs in order, with about `most` in memory at once."""
+    """The records of the runs in order; of those in files about an eighth of `most` is in memory at once."""
     while runs := [r for r in runs if len(r)]:
-        heads = [r.head(max(64, min(_BLOCK, most // (2 * len(runs))))) for r in runs]
+        heads = [r.head(max(64, min(_BLOCK, most // (8 * len(runs))))) for r in runs]
         # what is surely before all that isn't in memory yet; ties beyond a block belong to the earlier run
         last = min((h["key"][-1], i) for i, (h, r) in enumerate(zip(heads, runs, strict=True)) if len(h) < len(r)) if any(len(h) < len(r) for h, r in zip(heads, runs, strict=True)) else None
         cut = [len(h) if last is None else int(np.searchsorted(h["key"], last[0], "right" if i <= last[1] else "left")) for i, h in enumerate(heads)]

@@ -135,7 +135,7 @@ def large_repeats(doc: np.ndarray, start: np.ndarray, path: str, count: np.ndarr
 
     level = X.Level(blocks, len(doc), folder, cfg.memory)
     kind = np.dtype([("doc", "<i8"), ("place", "<i8"), ("group", "<i8")])
-    stored, least, group, before = [], [], -1, None  # least: (document, place) of each group's source; before: the suffix that a group may start with
+    stored, least, group, known, before = [], [], -1, -1, None  # least: (document, place) of each group's source; before: the suffix that a group may start with
     for r, _, lcp in X.suffixes_down(level, True):
         seg, at = r["id"] >> X._BITS, r["id"] & ((1 << X._BITS) - 1)
         d, p, linked = doc[seg], start[seg] + at, lcp >= cfg.min_words
@@ -151,18 +151,20 @@ def large_repeats(doc: np.ndarray, start: np.ndarray, path: str, count: np.ndarr
             out = np.zeros(int(keep.sum()), kind)
             out["doc"], out["place"], out["group"] = d[keep], p[keep], g[keep]
             o = np.lexsort([out["place"], out["doc"], out["group"]])
-            first = o[np.concatenate([[True], np.diff(out["group"][o]) > 0])]
-            for x in out[first].tolist():
-                if x[2] == len(least):
-                    least.append(x[:2])
-                else:
-                    least[x[2]] = min(least[x[2]], x[:2])
+            x = out[o[np.concatenate([[True], np.diff(out["group"][o]) > 0])]]
+            own = np.stack([x["doc"], x["place"]], 1)
+            if least and x["group"][0] == known:  # the last group goes on
+                least[-1][-1] = min(least[-1][-1].tolist(), own[0].tolist())
+                own = own[1:]
+            if len(own):
+                least.append(own)
+            known = group
             stored.append((folder.write(out), len(out)))
     if before is not None and before[2]:
         x = (int(before[0]), int(before[1]))
-        least[group] = min(least[group], x)
+        least[-1][-1] = min(least[-1][-1].tolist(), list(x))
         stored.append((folder.write(np.array([(*x, group)], kind)), 1))
-    source = np.array(least, np.int64).reshape(-1, 2)
+    source = np.concatenate(least) if least else np.zeros((0, 2), np.int64)
     for name, n in stored:
         with folder.fs.open_input_stream(name, compression=None) as f:
             x = np.frombuffer(f.read(n * kind.itemsize), kind)
