@@ -136,9 +136,9 @@ def _merged(runs: list[_Run], most: int) -> Iterator[np.ndarray]:
 
 
 def _dtype(width: int, after: int = 0) -> np.dtype:
-    """id: segment and place; rank: of the record that induced it; run: of its first symbol; left: symbols that this phase still induces; more: all that it carries; lcp: with the record before; h: of its LMS substring."""
-    fields = [("key", "<i8"), ("id", "<i8"), ("rank", "<i8"), ("h", "<u8"), ("run", "<u2"), ("left", "<u2"), ("more", "<u2"), ("lcp", "<u2"), ("carry", "<i8", (width,))]
-    return np.dtype(fields + ([("after", "<i8", (after,))] if after else []))
+    """id: segment and place; rank: of the record that induced it; run: of its first symbol; left: symbols that this phase still induces; more: all that it carries; lcp: with the record before; h: of its LMS substring; after: the `words` symbols from it on. Symbols are carried without the separators' share, in 32 bits."""
+    fields = [("key", "<i8"), ("id", "<i8"), ("rank", "<i8"), ("h", "<u8"), ("run", "<u2"), ("left", "<u2"), ("more", "<u2"), ("lcp", "<u2"), ("carry", "<u4", (width,))]
+    return np.dtype(fields + ([("words", "<u2"), ("after", "<u4", (after,))] if after else []))
 
 
 def _parts(symbols: np.ndarray, seg: np.ndarray, length: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -190,13 +190,14 @@ class Level:
             end = (start + length)[of]
             r["left"], r["more"] = left, more
             place = at[:, None] - 1 - np.arange(self.width)
-            r["carry"] = np.where(np.arange(self.width) < more[:, None], x[np.maximum(place, 0)], 0)
+            r["carry"] = np.where(np.arange(self.width) < more[:, None], x[np.maximum(place, 0)] - self.k, 0)
             if after:
                 place = at[:, None] + np.arange(self.after)
-                r["after"] = np.where(place < end[:, None], x[np.minimum(place, len(x) - 1)], -1 - r["id"][:, None])
-                run = np.cumprod(r["after"] == x[at][:, None], 1).sum(1)
+                inside, symbol = place < end[:, None], x[np.minimum(place, len(x) - 1)]
+                r["after"], r["words"] = np.where(inside, symbol - self.k, 0), end - at
+                run = np.cumprod(inside & (symbol == x[at][:, None]), 1, np.uint8).sum(1)
             else:  # hashes of the LMS substrings that end here
-                c = np.where(np.arange(self.width) < more[:, None], r["carry"], -1).astype(np.uint64)
+                c = np.where(np.arange(self.width) < more[:, None], r["carry"].astype(np.int64), -1).astype(np.uint64)
                 m = np.array([pow(0xD1342543DE82EF95, j + 1, 1 << 64) for j in range(self.width)], np.uint64)
                 h = (c * m).sum(1, dtype=np.uint64) + x[at].astype(np.uint64) + (more.astype(np.uint64) << np.uint64(57))
                 h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -232,7 +233,7 @@ def _scan(level: Level, seeds: Iterator[np.ndarray], dtype: np.dtype, up: bool,
         o = np.argsort(both["key"], kind="stable")[:size]
         r = both[o]
         gives = r["left"] > 0
-        symbol = r["carry"][:, 0]
+        symbol = r["carry"][:, 0].astype(np.int64) + level.k
         new_key = np.where(gives, 2 * (symbol if up else level.top - symbol), none)
         ahead = np.minimum.accumulate(new_key)
         bad = np.flatnonzero(r["key"][1:] > ahead[:-1])
@@ -399,10 +400,10 @@ def suffixes_down(level: Level, with_lcp: bool) -> Iterator[tuple[np.ndarray, np
             block = block.copy()
             block["key"], block["rank"] = block["rank"], 0
             if with_lcp:
-                a = block["after"] if last is None else np.concatenate([last, block["after"]])
-                same = np.cumprod(a[1:] == a[:-1], 1).sum(1)
+                a, w = (block[c] if last is None else np.concatenate([last[c], block[c]]) for c in ("after", "words"))
+                same = np.minimum(np.cumprod(a[1:] == a[:-1], 1, np.uint8).sum(1), np.minimum(w[1:], w[:-1]))
                 block["lcp"] = np.minimum(np.concatenate([[0], same]) if last is None else same, 255)
-                last = block["after"][-1:].copy()
+                last = block[-1:].copy()
             yield block
 
     yield from _induce(level, seeds(), with_lcp)
