@@ -100,7 +100,7 @@ class Queue:
     def peek(self, n: int) -> tuple[np.ndarray, ...]:
         """The first n tuples and the run of each."""
         if not self.runs:
-            z = np.zeros(0, np.int64)
+            z = np.zeros(0, np.int32)
             return z, z, z, z
         parts = [[c[a : a + n] for c in r] for r, a in zip(self.runs, self.at, strict=True)]
         key, pos, rank = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -121,14 +121,14 @@ def _scan(value: np.ndarray, wanted: np.ndarray, run: np.ndarray | None, seeds:
     wanted[i]: suffix i is of the type to be induced. Among equal first values the induced come before the seeds.
     """
     total = len(seeds) + int(wanted.sum())
-    out = np.empty(total, np.int64)
+    out = np.empty(total, value.dtype)
     lcp = np.zeros(total, np.uint8) if run is not None else None
     least = RangeMin(total) if run is not None else None
     queue = Queue()
     seed_key = 2 * value[seeds] + 1
     done, used, size = 0, 0, 512
     last_key, last_rank, last_pos = -5, 0, 0
-    none = np.int64(1) << 62
+    none = value.dtype.type(np.iinfo(value.dtype).max)
     while done < total:
         key, pos, rank, which = queue.peek(size)
         s_key, s_pos = seed_key[used : used + size], seeds[used : used + size]
@@ -147,7 +147,7 @@ def _scan(value: np.ndarray, wanted: np.ndarray, run: np.ndarray | None, seeds:
         from_queue = o < nq
         out[done : done + n] = p
         if run is not None:
-            r = np.where(from_queue, np.concatenate([rank, np.zeros(len(s_key), np.int64)])[o], -1)
+            r = np.where(from_queue, np.concatenate([rank, np.zeros(len(s_key), rank.dtype)])[o], -1)
             pk, pr, pp = np.concatenate([[last_key], k[:-1]]), np.concatenate([[last_rank], r[:-1]]), np.concatenate([[last_pos], p[:-1]])
             c = np.zeros(n, np.uint8)
             both = np.flatnonzero(from_queue & (pk == k))
@@ -163,7 +163,7 @@ def _scan(value: np.ndarray, wanted: np.ndarray, run: np.ndarray | None, seeds:
         used += int((~from_queue).sum())
         queue.take(which[o[from_queue]])
         g = np.flatnonzero(gives)
-        queue.push(new_key[g], before[g], done + g)
+        queue.push(new_key[g], before[g], (done + g).astype(value.dtype))
         done += n
     return out, lcp
 
@@ -172,8 +172,8 @@ def _names(t: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Names of the LMS substrings, equal for equal ones and in their order; by refinement, a character at a time."""
     n = len(lms)
     length = np.diff(np.concatenate([lms, [len(t) - 1]])) + 1
-    rank = np.zeros(n, np.int64)
-    active = np.arange(n)
+    rank = np.zeros(n, t.dtype)
+    active = np.arange(n, dtype=t.dtype)
     d = 0
     while len(active):
         at = lms[active] + d
@@ -213,21 +213,25 @@ def suffix_array(text: np.ndarray, with_lcp: bool = True) -> tuple[np.ndarray, n
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    t = np.concatenate([np.asarray(text, np.int64) + 1, [0]])  # 0 ends the text
+    kind = np.int32 if max(n, int(text.max())) < 1 << 29 else np.int64
+    t = np.zeros(n + 1, kind)  # 0 ends the text
+    t[:n] = text
+    t[:n] += 1
     differs = np.concatenate([t[:-1] != t[1:], [True]])
-    nxt = np.where(differs, np.arange(n + 1), n)
+    nxt = np.where(differs, np.arange(n + 1, dtype=kind), kind(n))
     nxt = np.minimum.accumulate(nxt[::-1])[::-1]  # last place of the run that i is in
     small = np.concatenate([t[:-1] < t[1:], [True]])[nxt]
-    run = np.minimum(nxt - np.arange(n + 1) + 1, 255).astype(np.uint8)
-    lms = np.flatnonzero(small[1:-1] & ~small[:-2]) + 1
+    run = np.minimum(nxt - np.arange(n + 1, dtype=kind) + 1, 255).astype(np.uint8)
+    del differs, nxt
+    lms = (np.flatnonzero(small[1:-1] & ~small[:-2]) + 1).astype(kind)
     if len(lms) > 1:
-        name = _names(t, small.astype(np.int64), lms)
+        name = _names(t, small.view(np.int8), lms)
         order = np.argsort(name, kind="stable")
         if len(lms) > 1 and (np.diff(name[order]) == 0).any():
             order, _ = suffix_array(name, False)
-        seeds = np.concatenate([[n], lms[order]])
-    else:
-        seeds = np.concatenate([[n], lms])
+        lms = lms[order]
+        del name, order
+    seeds = np.concatenate([np.array([n], kind), lms])
     seed_lcp = None
     if with_lcp:
         seed_lcp = np.concatenate([[0], _common(t, seeds[:-1], seeds[1:])]).astype(np.uint8)
@@ -242,7 +246,8 @@ def suffix_array(text: np.ndarray, with_lcp: bool = True) -> tuple[np.ndarray, n
     top = int(t.max())
     wanted = small.copy()
     wanted[n] = False
-    out, lcp = _scan(top - t, wanted, run if with_lcp else None, down, seed_lcp)
+    del large, l_lcp, at, seeds, lms
+    out, lcp = _scan(kind(top) - t, wanted, run if with_lcp else None, down, seed_lcp)
     if lcp is not None:
         lcp = np.concatenate([[0], lcp[1:][::-1]]).astype(np.uint8)
     return out[::-1], lcp
