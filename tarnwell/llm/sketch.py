@@ -7,11 +7,12 @@ registers give candidates, of which the Jaccard similarity is estimated by maxim
 registers that are larger in the one, in the other and equal; what may reach the threshold is verified on the
 exact sets. Verified pairs are closed transitively.
 
-Buckets are met in two rounds. First every document meets the first of its bucket and the one before it, which links
+Buckets are met in three rounds. First every document meets the first of its bucket and the one before it, which links
 groups of copies of any size at a cost in proportion. Then, in buckets that hold more than one of the groups found so
 far, all pairs of different groups meet: in buckets of up to `most` documents as they are; larger ones are divided by
-one more band, whichever it is that a pair agrees in, again and again until they are small. So a document that shares
-a bucket only with what isn't like it still meets the one that is.
+one more band, whichever it is that a pair agrees in, again and again until they are small. Last, in the larger buckets
+that still hold more than one group, all pairs of different groups meet, divided or not: their registers are compared
+block by block. So any two documents that share a bucket meet, unless they are in one group already.
 
 Defined results: rows with a null doc_id and texts that are null or have no word belong to no group; rows with
 equal doc_id are one document; documents of equal word sequences are exact copies whatever their length; ties go
@@ -33,7 +34,7 @@ from . import common as C
 
 @dataclass(frozen=True)
 class SketchConfig:
-    """threshold: Jaccard similarity of the verified sets; margin: by how much an estimate may fall short of it; most: documents of a bucket that all meet."""
+    """threshold: Jaccard similarity of the verified sets; margin: by how much an estimate may fall short of it; most: documents of a bucket that meet at once; block: documents of a larger one that are compared with as many others in one task."""
 
     shingle: int = 3
     bands: int = 21
@@ -43,6 +44,7 @@ class SketchConfig:
     threshold: float = 0.5
     margin: float = 0.2
     most: int = 128
+    block: int = 1024
     seed: int = 11
 
     @property
@@ -114,6 +116,17 @@ def jaccard_mle(more: np.ndarray, less: np.ndarray, same: np.ndarray, nu: np.nda
     return (lo + hi) / 2
 
 
+def reaches(more: np.ndarray, less: np.ndarray, same: np.ndarray, nu: np.ndarray, nv: np.ndarray, base: float, least: float) -> np.ndarray:
+    """Whether jaccard_mle() is at least `least`, by the slope of the likelihood there, which is concave."""
+    u, v = nu / (nu + nv), nv / (nu + nv)
+    c, t = (base - 1) / base, 1e-12
+    x, y = np.maximum(u - v * least, 0), np.maximum(v - u * least, 0)
+    a, b = (-np.log1p(-z * c) / np.log(base) for z in (x, y))
+    da, db = v * c / (1 - x * c) / np.log(base), u * c / (1 - y * c) / np.log(base)
+    slope = same * (da + db) / np.maximum(1 - a - b, t) - more * da / np.maximum(a, t) - less * db / np.maximum(b, t)
+    return (np.minimum(u / v, v / u) >= least) & (slope >= 0)
+
+
 def band_table(sketches: DataFrame, cfg: SketchConfig) -> DataFrame:
     """(doc_id, keys): a hash of each band's registers."""
 
@@ -138,16 +151,21 @@ def first_pairs(bands: DataFrame) -> DataFrame:
     return met.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()
 
 
+def _rooted(bands: DataFrame, groups: DataFrame) -> DataFrame:
+    """bands with the root of each document's group (id, root), itself where it has none."""
+    return bands.join(C.growing(groups.withColumnRenamed("id", "doc_id")), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+
 def other_pairs(bands: DataFrame, groups: DataFrame, cfg: SketchConfig) -> DataFrame:
     """(a, b), a < b: all pairs of different groups (id, root) that share a bucket of at most `most` documents.
 
     A bucket is a set of bands (used) in which its documents agree. Larger ones are divided by each band that isn't
-    in the set; in one of all bands, where documents are alike throughout, each meets the one before it.
+    in the set; in one of all bands, where documents are alike throughout, each meets the one before it. What agrees
+    in large buckets only is left to block_pairs().
     """
     if cfg.bands > 62:
         raise ValueError("sets of bands are kept in 63 bits")
-    rooted = bands.join(C.growing(groups.withColumnRenamed("id", "doc_id")), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    rows = rooted.select("doc_id", "root", F.posexplode("keys").alias("j", "bucket")).selectExpr("doc_id", "root", "bucket", "shiftleft(1L, j) AS used")
+    rows = _rooted(bands, groups).select("doc_id", "root", F.posexplode("keys").alias("j", "bucket")).selectExpr("doc_id", "root", "bucket", "shiftleft(1L, j) AS used")
     out, level = None, 1
     while True:
         sizes = rows.groupBy("bucket", "used").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "used", "n")
@@ -168,6 +186,40 @@ def other_pairs(bands: DataFrame, groups: DataFrame, cfg: SketchConfig) -> DataF
         level += 1
 
 
+def block_pairs(bands: DataFrame, groups: DataFrame, sketches: DataFrame, cfg: SketchConfig) -> DataFrame | None:
+    """(a, b), a < b: all pairs of different groups (id, root) that share a bucket of more than `most` documents and whose
+    estimated similarity is at least threshold - margin; None where no such bucket holds more than one group.
+
+    A bucket is cut into blocks, and each pair of blocks is a task's work, so that no bucket is in one place.
+    """
+    rows = _rooted(bands, groups).select("doc_id", "root", F.explode("keys").alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(f"lo < hi AND k > {cfg.most}")
+    rows = C.durable(rows.join(C.growing(sizes.selectExpr("bucket", f"ceil(k / {cfg.block}) AS k")), "bucket"), "buckets")
+    if rows.isEmpty():
+        C.drop_durable(rows)
+        return None
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j, part, doc, root, n = (t.column(c).to_numpy() for c in ("i", "j", "part", "doc_id", "root", "n"))
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, cfg.registers)
+        x, y = np.flatnonzero(part == i[0]), np.flatnonzero(part == j[0])
+        out = []
+        for s in range(0, len(x), 16):
+            p, q = (v.ravel() for v in np.meshgrid(x[s : s + 16], y, indexing="ij"))
+            wanted = (root[p] != root[q]) & ((i[0] != j[0]) | (doc[p] < doc[q]))
+            p, q = p[wanted], q[wanted]
+            u, v = regs[p], regs[q]
+            more, less = (u > v).sum(1), (u < v).sum(1)
+            ok = reaches(more, less, cfg.registers - more - less, n[p], n[q], cfg.base, cfg.threshold - cfg.margin)
+            out.append(np.stack([doc[p[ok]], doc[q[ok]]]))
+        both = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": both.min(0), "b": both.max(0)})
+
+    rows = rows.join(C.growing(sketches), "doc_id").withColumn("part", F.expr("pmod(xxhash64(doc_id), k)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, k - 1)"))).selectExpr("bucket", "least(part, other) AS i", "greatest(part, other) AS j", "part", "doc_id", "root", "n", "regs")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def likely_pairs(pairs: DataFrame, sketches: DataFrame, cfg: SketchConfig) -> DataFrame:
     """(a, b, estimate) of the pairs whose estimated similarity is at least threshold - margin."""
 
@@ -215,6 +267,13 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, cfg: SketchConfig) -> Data
     return of.groupBy("a", "b").agg(one.alias("s"), two.alias("t")).where("s IS NOT NULL AND t IS NOT NULL").mapInArrow(compare, "a long, b long, jaccard double")
 
 
+def _holding(docs: DataFrame, pairs: DataFrame, slots: int = 1 << 19) -> DataFrame:
+    """(doc_id, text) of the documents in the slots that those of the pairs are in: all of theirs and some more, so that texts of few pairs are shuffled alone."""
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(slots))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(slot.alias("_slot")).distinct()
+    return docs.select("doc_id", "text").withColumn("_slot", slot).join(F.broadcast(wanted), "_slot", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, cfg: SketchConfig = SketchConfig()) -> DataFrame:
     """(doc_id, duplicate_of): each document that has an exact or near copy of a smaller doc_id, and the smallest of its group."""
     s = C.durable(sketch_table(docs, cfg), "sketches")
@@ -224,21 +283,29 @@ def near_duplicates(docs: DataFrame, cfg: SketchConfig = SketchConfig()) -> Data
     firsts = C.durable(firsts, "firsts")
     bands = C.durable(band_table(firsts, cfg), "bands")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        likely = C.durable(likely_pairs(pairs, firsts, cfg), "pairs")
-        near = C.durable(verified_pairs(docs, likely, cfg).select("a", "b"), "near")
+    def verified(likely: DataFrame, few: bool = False) -> DataFrame:
+        likely = C.durable(likely, "pairs")
+        near = C.durable(verified_pairs(_holding(docs, likely) if few else docs, likely, cfg).select("a", "b"), "near")
         C.drop_durable(likely)
         return near
 
-    groups = C.components(exact.unionByName(verified(first_pairs(bands))))
-    late = verified(other_pairs(bands, groups, cfg))
+    groups = C.components(exact.unionByName(verified(likely_pairs(first_pairs(bands), firsts, cfg))))
+    groups = C.durable(_joined(groups, verified(likely_pairs(other_pairs(bands, groups, cfg), firsts, cfg))), "groups")
+    rest = block_pairs(bands, groups, firsts, cfg)
+    if rest is not None:
+        groups = _joined(groups, verified(rest, few=True))
     C.drop_durable(s, firsts, bands)
+    return groups.where("id <> root").selectExpr("id AS doc_id", "root AS duplicate_of")
+
+
+def _joined(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """groups (id, root) with those united that the pairs (a, b) link."""
     # what joins groups is little, so the second closure is one of their smallest members
     of = lambda c: groups.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-    ends = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    ends = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     joined = C.components(ends).select(F.col("id").alias("root"), F.col("root").alias("top"))
     every = groups.join(joined, "root", "full")  # a document that was alone has no row in groups, but one in joined
-    return every.select(F.coalesce("id", "root").alias("doc_id"), F.coalesce("top", "root").alias("duplicate_of")).where("doc_id <> duplicate_of")
+    return every.select(F.coalesce("id", "root").alias("id"), F.coalesce("top", "root").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, cfg: SketchConfig = SketchConfig()) -> DataFrame:

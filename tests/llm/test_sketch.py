@@ -99,6 +99,64 @@ def test_divided_buckets_keep_pairs_that_agree_twice(spark):
     assert sorted(tuple(r) for r in S.other_pairs(alike, none, cfg).collect()) == [(i, i + 1) for i in range(5)]
 
 
+def sharing(rows, buckets, threshold=0.5):
+    """Groups of the pairs that share a bucket and have the threshold in common, as brute force finds them."""
+    ss, root = dict(zip([r[0] for r in rows], sets([r[1] for r in rows]), strict=True)), {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = {(a, b) for ids in buckets for a in ids for b in ids if a < b}
+    for a, b in pairs:
+        n = len(ss[a] & ss[b])
+        if n / (len(ss[a]) + len(ss[b]) - n) >= threshold:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {(i, find(i)) for i in root if find(i) != i}
+
+
+def buckets_of(docs, cfg):
+    out = {}
+    for r in S.band_table(S.sketch_table(docs, cfg), cfg).collect():
+        for k in r["keys"]:
+            out.setdefault(k, set()).add(r.doc_id)
+    return list(out.values())
+
+
+def half_alike(n, pairs, common, own, shared):
+    """n documents of a common text and words of their own, and pairs more documents with a few of those of an earlier one."""
+    boiler, rows = words(common, 900), []
+    for i in range(n):
+        rows.append((i, " ".join(boiler + words(own, 1000 + i, 10**6))))
+    for i in range(pairs):
+        rows.append((10_000 - i, " ".join(boiler + words(own, 1000 + 2 * i, 10**6)[:shared] + words(own - shared, 5000 + i, 10**6))))
+    return rows
+
+
+def test_pairs_that_agree_in_large_buckets_only(spark):
+    rows = half_alike(60, 30, 110, 60, 20)
+    docs = table(spark, rows)
+    for block in (1024, 7):  # buckets in one block, and in several
+        cfg = S.SketchConfig(bands=6, most=4, block=block)
+        buckets = buckets_of(docs, cfg)
+        want = sharing(rows, buckets)
+        got = {(x.doc_id, x.duplicate_of) for x in S.near_duplicates(docs, cfg).collect()}
+        assert max(map(len, buckets)) > 20 and len(want) >= 15 and got == want
+
+
+def test_slope_says_what_the_estimate_says():
+    r = np.random.default_rng(5)
+    more = r.integers(0, 40, 5000)
+    less = r.integers(0, 63 - more)
+    nu, nv = r.integers(1, 400, (2, 5000))
+    est = S.jaccard_mle(more, less, 63 - more - less, nu, nv, 1.001)
+    got = S.reaches(more, less, 63 - more - less, nu, nv, 1.001, 0.3)
+    sure = abs(est - 0.3) > 1e-6
+    assert (got == (est >= 0.3))[sure].all() and 500 < got.sum() < 4500
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     assert {(r.doc_id, r.duplicate_of) for r in S.near_duplicates(docs).collect()} == {(2, 1), (9, 5)}
