@@ -74,6 +74,42 @@ def test_exact_repeats_around_a_hot_phrase(spark):
     assert total >= 50 and missed == 0
 
 
+def test_near_repeats_around_a_hot_phrase(spark):
+    """Rare near repeats that hold a phrase of all documents, with many other holders between the two."""
+    hot, rows, want = words(24, 900), [], set()
+    for k in range(200):
+        rows.append((k, " ".join(words(60, 2000 + k, 10**6) + hot + words(60, 3000 + k, 10**6))))
+    for k in range(40):
+        p = words(13, 5000 + k, 10**6) + hot + words(13, 6000 + k, 10**6)
+        q = [*p[:3], "x1", *p[4:9], "x2", *p[10:40], "x3", *p[41:46], "x4", *p[47:]]
+        rows[k + 20] = (k + 20, rows[k + 20][1] + " " + " ".join(words(60, 7000 + k, 10**6) + p + words(60, 8000 + k, 10**6)))
+        rows[k + 120] = (k + 120, rows[k + 120][1] + " " + " ".join(words(60, 7500 + k, 10**6) + q + words(60, 8500 + k, 10**6)))
+        want.add((k + 120, k + 20))
+    got = {(r.doc_id, r.source_doc) for r in windows.repeated_passages(table(spark, rows)).collect()}
+    print(len(want - got), len(got - want))
+    assert len(want - got) <= 2
+
+
+@pytest.mark.parametrize("small", [512, 3])  # all pairs, and by prefixes
+def test_words_around_by_brute_force(small):
+    r, cfg = np.random.default_rng(8), windows.WindowConfig()
+    around = r.integers(1, 200, (300, 97)).astype(np.uint8)
+    around[:, 38:58] = around[0, 38:58]  # a hot phrase
+    for k in range(0, 300, 3):
+        s, o = r.integers(0, 47), r.integers(300)
+        around[k, s : s + 50] = np.where(r.random(50) < 0.9, around[o, s : s + 50], around[k, s : s + 50])
+    around[5, :30], around[7, 60:] = 0, 0
+    group, doc = np.sort(r.integers(0, 5, 300)), r.integers(0, 200, 300)
+    equal = lambda i, j: int(((around[i] == around[j]) & (around[i] > 0)).sum())
+    runs = lambda i, j: len(windows.matching_runs((around[i] == around[j]) & (around[i] > 0), np.array([0, 97]), cfg)[0]) > 0
+    pairs = {(i, j) for i in range(300) for j in range(i + 1, 300) if group[i] == group[j] and doc[i] != doc[j] and equal(i, j) >= 40}
+    near = {(i, j) for i, j in pairs if runs(i, j)}
+    got, linked = (set(zip(*(x.tolist() for x in windows.alike_around(group, around, doc, cfg, small, c)), strict=True)) for c in (False, True))
+    assert near <= got <= pairs and len(near) > 10
+    rest = {(i, j) for i, j in near - linked if not any((k, i) in linked & near and (k, j) in linked & near for k in range(i))}
+    assert linked <= got and not rest  # what isn't linked has one row in common
+
+
 def test_exact_run_beside_scattered_equal_words():
     same = np.concatenate([np.ones(50, bool), np.tile(np.array([False] * 5 + [True]), 20)])
     assert [x.tolist() for x in windows.matching_runs(same, np.array([0, len(same)]), windows.WindowConfig())] == [[0], [0], [50]]
