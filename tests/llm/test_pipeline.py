@@ -101,3 +101,16 @@ def test_run_by_brute_force(spark, tmp_path):
     docs.limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet(f"{d}/labels.parquet").limit(0).write.parquet(f"{empty}/labels.parquet")
     assert P.run(spark, empty).collect() == []
+
+
+def test_near_dedup_keeps_no_pair_of_a_large_bucket(spark, monkeypatch):
+    import corpus_pipeline as P
+    from tarnwell.llm import sketch
+
+    from .test_sketch import buckets_of, half_alike, sharing, table
+
+    cfg, rows = sketch.SketchConfig(bands=6, most=4), half_alike(60, 30, 110, 60, 20)
+    monkeypatch.setattr(sketch.drop_near_duplicates, "__defaults__", (cfg,))
+    docs = table(spark, rows)
+    gone = {i for i, _ in sharing(rows, buckets_of(docs, cfg))}
+    assert {r.doc_id for r in P.near_dedup(spark, docs, "").collect()} == {r[0] for r in rows} - gone and len(gone) >= 15
