@@ -110,6 +110,40 @@ def test_words_around_by_brute_force(small):
     assert linked <= got and not rest  # what isn't linked has one row in common
 
 
+def test_runs_of_one_word_meet_on_few_lines(spark):
+    """Many documents with long runs of one word: windows along the runs, all of one value, of which nearly each two are alike."""
+    rows = [(k, " ".join(words(20, 2000 + k, 10**6) + ["the"] * (60 + k) + words(20, 3000 + k, 10**6))) for k in range(60)]
+    docs, cfg = table(spark, rows), windows.WindowConfig()
+    hot = windows.hot_windows(windows.window_table(docs, cfg), cfg)
+    lines = windows.other_lines(docs, hot, cfg).collect()
+    assert len(lines) < 5 * hot.count()  # of some 75,000 pairs of documents and diagonals
+    got = windows.repeated_passages(docs).collect()
+    missed, total = uncovered(rows, got)
+    assert total > 500 and missed == 0 and {r.doc_id for r in got} == set(range(1, 60))
+
+
+def test_many_alike_rows_by_brute_force():
+    """Groups above `small`, several leaders, more rows than a tile: what isn't linked has an earlier row in common."""
+    r, cfg = np.random.default_rng(4), windows.WindowConfig()
+    around = r.integers(1, 250, (700, 97)).astype(np.uint8)
+    for k in range(700):
+        lo, hi = r.integers(0, 49), r.integers(48, 98)
+        around[k, lo:hi] = 7  # runs of one word around the minimum
+    around[:, 47:50] = 7
+    doc = np.sort(r.integers(0, 150, 700))
+    i, j = np.triu_indices(700, 1)
+    i, j = i[doc[i] != doc[j]], j[doc[i] != doc[j]]
+    sure = windows._runs_around(around[i], around[j], cfg)
+    near = np.zeros((700, 700), bool)
+    near[i[sure], j[sure]] = True
+    got, every = np.zeros((700, 700), bool), np.zeros((700, 700), bool)
+    got[windows.alike_around(np.zeros(700, int), around, doc, cfg)] = True
+    every[windows.alike_around(np.zeros(700, int), around, doc, cfg, classes=False)] = True
+    linked = (got & near).astype(np.float32)
+    assert not (near & ~every).any() and not (got & ~every).any()
+    assert not (near & ~got & (linked.T @ linked == 0)).any() and got.sum() < near.sum() / 10 and near.sum() > 20_000
+
+
 def test_exact_run_beside_scattered_equal_words():
     same = np.concatenate([np.ones(50, bool), np.tile(np.array([False] * 5 + [True]), 20)])
     assert [x.tolist() for x in windows.matching_runs(same, np.array([0, len(same)]), windows.WindowConfig())] == [[0], [0], [50]]
