@@ -144,6 +144,45 @@ def test_many_alike_rows_by_brute_force():
     assert not (near & ~got & (linked.T @ linked == 0)).any() and got.sum() < near.sum() / 10 and near.sum() > 20_000
 
 
+def test_long_runs_of_one_word_do_not_meet_each_other(spark):
+    """Two windows in runs that are passages by themselves: exact_lines() has them; a run with another word in it meets one, and all lines are found."""
+    the = lambda n: ["the"] * n
+    rows = [(k, " ".join(words(60, 2000 + k, 10**6) + the(60 + k) + words(60, 3000 + k, 10**6))) for k in range(1, 80)]
+    rows += [(k, " ".join(words(60, 2000 + k, 10**6) + the(24) + ["x"] + the(25) + words(60, 3000 + k, 10**6))) for k in (0, 80)]
+    docs, cfg = table(spark, rows), windows.WindowConfig()
+    hot = windows.hot_windows(windows.window_table(docs, cfg), cfg)
+    lines = {(x.a, x.b) for x in windows.other_lines(docs, hot, cfg).collect()}
+    assert lines and all(a == 0 or b == 80 for a, b in lines)
+    got = windows.repeated_passages(docs).collect()
+    missed, total = uncovered(rows, got)
+    assert missed == 0 and total > 500 and {r.doc_id for r in got} == set(range(1, 81))
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_inner_rows_of_runs_are_not_needed(parts):
+    """Rows along runs: the same lines whether all rows meet or the first and last ones with all, in one block or between two."""
+    r, cfg = np.random.default_rng(7), windows.WindowConfig()
+    tail = r.integers(8, 250, (6, 60))
+    rows = []
+    for d in range(90):
+        run = int(r.integers(5, 90))
+        text = np.concatenate([r.integers(8, 250, 60), np.full(run, 7), tail[r.integers(6)], r.integers(8, 250, 60)])
+        text[60 + run + r.integers(0, 60, 4)] = 5
+        rows += [(d, c, run >= 50, text[c - 47 : c + 50]) for c in range(60, 60 + run - 2)]
+    doc, c, run = (np.array([x[k] for x in rows]) for k in range(3))
+    around, second = np.array([x[3] for x in rows], np.uint8), doc % parts > 0
+    o = np.lexsort([c, doc, second])
+    doc, c, run, around, second = (x[o] for x in (doc, c, run, around, second))
+    inner = windows.inner_rows(np.concatenate([[True], doc[1:] != doc[:-1]]), c, cfg)
+    found = []
+    for flags in (np.zeros(len(doc), bool), inner):
+        p, q = windows.alike_around(np.zeros(len(doc), int), around, doc, cfg, classes=False, run=run, second=second, inner=flags)
+        assert not (run[p] & run[q]).any() and (parts == 1 or (second[p] != second[q]).all())
+        a, b = np.where(doc[p] < doc[q], p, q), np.where(doc[p] < doc[q], q, p)
+        found.append(set(zip(doc[a].tolist(), doc[b].tolist(), (c[b] - c[a]).tolist(), strict=True)))
+    assert found[0] == found[1] and len(found[0]) > 100 and inner.mean() > 0.8
+
+
 def test_exact_run_beside_scattered_equal_words():
     same = np.concatenate([np.ones(50, bool), np.tile(np.array([False] * 5 + [True]), 20)])
     assert [x.tolist() for x in windows.matching_runs(same, np.array([0, len(same)]), windows.WindowConfig())] == [[0], [0], [50]]
