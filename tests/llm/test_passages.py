@@ -152,12 +152,30 @@ def test_long_runs_of_one_word_do_not_meet_each_other(spark):
     docs, cfg = table(spark, rows), windows.WindowConfig()
     hot = windows.hot_windows(windows.window_table(docs, cfg), cfg)
     lines = {(x.a, x.b) for x in windows.other_lines(docs, hot, cfg).collect()}
-    assert lines and all(a == 0 or b == 80 for a, b in lines)
+    others = sum(a > 0 and b < 80 for a, b in lines)  # equal bytes of different words past the runs' ends
+    assert len(lines) - others > 100 and others < 79 * 78 / 2 / 5
     got = windows.repeated_passages(docs).collect()
     missed, total = uncovered(rows, got)
     assert missed == 0 and total > 500 and {r.doc_id for r in got} == set(range(1, 81))
 
 
+@pytest.mark.parametrize("count", [20, 200])
+def test_near_repeats_go_on_past_long_runs(spark, count):
+    """Two documents that have words past the ends of a run in common besides it, no 3 of them in a row: what is covered goes on there."""
+    rows, common = [], words(8, 77, 10**6)
+    for k in range(count):
+        own = words(140, 5000 + k, 10**6)
+        rows.append((k, " ".join(own[:60] + ["the"] * (70 + k % 3) + own[60:])))
+    for k in (count // 2, count - 1):  # ends alike: every second word on either side of the run
+        own = words(140, 9000 + k, 10**6)
+        before, after = own[:60], own[60:]
+        before[44::2], after[:16:2] = common, common
+        rows[k] = (k, " ".join(before + ["the"] * 70 + after))
+    got = windows.repeated_passages(table(spark, rows)).collect()
+    cover = {i for r in got if r.doc_id == count - 1 for i in range(r.start_word, r.end_word)}
+    assert set(range(60, 130)) <= cover and len(cover) > 80
+
+
 @pytest.mark.parametrize("parts", [1, 2])
 def test_inner_rows_of_runs_are_not_needed(parts):
     """Rows along runs: the same lines whether all rows meet or the first and last ones with all, in one block or between two."""
@@ -177,7 +195,7 @@ def test_inner_rows_of_runs_are_not_needed(parts):
     found = []
     for flags in (np.zeros(len(doc), bool), inner):
         p, q = windows.alike_around(np.zeros(len(doc), int), around, doc, cfg, classes=False, run=run, second=second, inner=flags)
-        assert not (run[p] & run[q]).any() and (parts == 1 or (second[p] != second[q]).all())
+        assert (parts == 1 or (second[p] != second[q]).all())
         a, b = np.where(doc[p] < doc[q], p, q), np.where(doc[p] < doc[q], q, p)
         found.append(set(zip(doc[a].tolist(), doc[b].tolist(), (c[b] - c[a]).tolist(), strict=True)))
     assert found[0] == found[1] and len(found[0]) > 100 and inner.mean() > 0.8
