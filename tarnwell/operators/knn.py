@@ -32,7 +32,11 @@ def check_dim(df: DataFrame, vector: str, dim: int) -> DataFrame:
     return df.withColumn(vector, F.when(ok.isNull(), F.col(vector)))
 
 
-def blocks(df: DataFrame, key: str, vector: str, by: str | None = None, rows: int = 2048) -> DataFrame:
+#: Rows of a matrix; queries that are compared with a matrix at once; pairs whose exact distances are computed at once; matrices of queries whose neighbours a task holds.
+ROWS, STEP, SLICE, HELD = 2048, 512, 1 << 16, 8
+
+
+def blocks(df: DataFrame, key: str, vector: str, by: str | None = None, rows: int = ROWS) -> DataFrame:
     """Rows packed into matrices: (ids, data, by), one row for each `rows` rows or less of a partition and value of by. No shuffle."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,56 +53,181 @@ def blocks(df: DataFrame, key: str, vector: str, by: str | None = None, rows: in
     return some.where("by IS NOT NULL").mapInArrow(pack, "ids array<long>, data binary, by string")
 
 
-def _met(queries: DataFrame, vectors: DataFrame, key: str, vector: str, qkey: str, qvector: str, by: str | None = None) -> DataFrame:
-    q = blocks(queries, qkey, qvector, by).withColumnsRenamed({"ids": "qids", "data": "qdata"})
+def meet(q: DataFrame, v: DataFrame, queries: int, vectors: int) -> DataFrame:
+    """All pairs of a matrix of q and one of v; of which there are so many rows. Few queries go to all vectors. Else a
+    task has some matrices of either side, a bounded number whatever the tables' sizes, and meets those of q one after
+    another with its own of v."""
+    if queries <= 4 * ROWS:
+        return v.crossJoin(F.broadcast(q))
+    return q.repartition(-(-queries // (4 * ROWS))).crossJoin(v.repartition(max(1, -(-vectors // (32 * ROWS)))))
+
+
+def _sides(queries: DataFrame, vectors: DataFrame, key: str, vector: str, qkey: str, qvector: str, by: str | None = None) -> DataFrame:
+    q = blocks(queries, qkey, qvector, by).withColumnsRenamed({"ids": "qids", "data": "qdata"}).withColumn("block", F.monotonically_increasing_id())
     v = blocks(vectors, key, vector, by)
-    return q.join(v, "by").drop("by") if by else q.drop("by").crossJoin(v.drop("by"))
+    return q.join(v, "by").drop("by") if by else meet(q.drop("by"), v.drop("by"), queries.count(), vectors.count())
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for b in batches:
-        for i in range(b.num_rows):
-            qids, ids = (np.array(b.column(c)[i].as_py(), np.int64) for c in ("qids", "ids"))
-            q, x = (np.frombuffer(b.column(c)[i].as_py()).reshape(len(k), -1) for c, k in (("qdata", qids), ("data", ids)))
-            if q.shape[1] != x.shape[1]:
-                raise ValueError(f"vectors of {q.shape[1]} and {x.shape[1]} dimensions")
-            yield qids, q, ids, x
+def row_ids(b: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+    return np.asarray(b.column(name)[i].values)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", *, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", qvector: str = "embedding", skip_self: bool = False, by: str | None = None) -> DataFrame:
-    """(query_id, rank, id, distance, score): the k nearest vectors of every query, ties by id; with by, among those
-    of the same value in that column of both sides. Rows with a null id or without a usable() vector are left out;
-    vectors of different lengths are an error.
+def row_matrix(b: pa.RecordBatch, name: str, i: int, n: int) -> np.ndarray:
+    return np.frombuffer(b.column(name)[i].as_buffer()).reshape(n, -1)
+
 
-    Matrices of queries meet matrices of vectors; each pair keeps its k best, and a window keeps those of a query.
-    Whether the queries are broadcast is the planner's choice, by their size.
+class Near:
+    """What of many matrices of vectors is near the queries of one matrix.
+
+    A product of matrices in single precision leaves out what can't be near, with a margin for all its rounding
+    errors; for the rest distances are exact. probes: which cells each query reads; bound: a distance for each query
+    within which its k nearest surely are.
     """
 
+    def __init__(self, ids: np.ndarray, q: np.ndarray, metric: str, k: int = 0, *, skip_self: bool = False, probes: np.ndarray | None = None, bound: np.ndarray | None = None) -> None:
+        self.ids, self.q, self.metric, self.k, self.skip_self, self.probes = np.array(ids), np.array(q), metric, k, skip_self, probes
+        self.bound = np.full(len(q), np.inf) if bound is None else np.array(bound)
+        self.sq = (self.q * self.q).sum(1)
+        self.d, self.at = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        self.factors: dict[type, np.ndarray] = {}
+
+    def _factor(self, kind: type) -> np.ndarray:
+        """The queries; for distances with a column for the vectors' norms."""
+        if kind not in self.factors:
+            self.factors[kind] = np.concatenate([self.q, np.ones((len(self.q), 1))], 1).astype(kind) if self.metric == "l2" else self.q.astype(kind)
+        return self.factors[kind]
+
+    def _limit(self, r: np.ndarray) -> np.ndarray:
+        return np.minimum(self.d[r, -1], self.bound[r]) if self.k else self.bound[r]
+
+    def pairs(self, ids: np.ndarray, x: np.ndarray, cells: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows of the queries, rows of x, exact distances) of all pairs within the limit of their query; those beyond may be among them."""
+        if self.q.shape[1] != x.shape[1]:
+            raise ValueError(f"vectors of {self.q.shape[1]} and {x.shape[1]} dimensions")
+        rows = np.arange(len(self.q)) if cells is None else np.flatnonzero(self.probes[:, np.unique(cells)].any(1))
+        high = np.abs(x).max(initial=0), np.abs(self.q).max(initial=0)
+        kind = np.float32 if 1e-15 < high[0] < 1e15 and high[1] < 1e15 else np.float64
+        factor: dict[type, np.ndarray] = {}
+        sq = (x * x).sum(1)
+        for s in range(0, len(rows), STEP):
+            r = rows[s : s + STEP]
+            i, j = self._candidates(r, ids, x, sq, cells, kind, factor)
+            if kind is np.float32 and len(i) > len(r) * len(x) // 16:
+                i, j = self._candidates(r, ids, x, sq, cells, np.float64, factor)
+            for a in range(0, len(i), SLICE):
+                ri, rj = r[i[a : a + SLICE]], j[a : a + SLICE]
+                if cells is not None:
+                    own = self.probes[ri, cells[rj]]
+                    ri, rj = ri[own], rj[own]
+                if self.skip_self:
+                    own = self.ids[ri] != ids[rj]
+                    ri, rj = ri[own], rj[own]
+                d = D.exact(self.q[ri], x[rj], self.metric)
+                own = np.isfinite(d)
+                yield ri[own], rj[own], d[own]
+
+    def _candidates(self, r: np.ndarray, ids: np.ndarray, x: np.ndarray, sq: np.ndarray, cells: np.ndarray | None, kind: type, factor: dict[type, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if kind not in factor:
+            factor[kind] = np.ascontiguousarray((np.concatenate([x, sq[:, None] / -2], 1) if self.metric == "l2" else x).astype(kind).T)
+        with np.errstate(all="ignore"):
+            g = self._factor(kind)[r] @ factor[kind]  # the more, the nearer
+            margin = 4 * (x.shape[1] + 8) * float(np.finfo(kind).eps) * (self.sq[r] + sq.max(initial=0))
+            limit = self._limit(r)
+            least = (self.sq[r] - limit - margin) / 2 if self.metric == "l2" else -limit - margin
+            if (free := ~np.isfinite(limit)).any():  # as far as there are less than k so far
+                h, m = g[free], g.shape[1]
+                if self.skip_self:
+                    h[self.ids[r[free], None] == ids] = -np.inf
+                if cells is not None:
+                    h[~self.probes[r[free]][:, cells]] = -np.inf
+                h[np.isnan(h)] = -np.inf
+                if self.k and self.k < m:
+                    least[free] = np.partition(h, m - self.k, axis=1)[:, m - self.k] - 2 * margin[free]
+                else:
+                    least[free] = -np.inf
+                g[free] = h
+            least = np.maximum(least, float(np.finfo(kind).min)).astype(kind)
+            at = np.flatnonzero(g >= least[:, None])
+        return at // g.shape[1], at % g.shape[1]
+
+    def meet(self, ids: np.ndarray, x: np.ndarray, cells: np.ndarray | None = None) -> None:
+        """Takes in vectors; the k nearest so far stay, ties by id."""
+        for i, j, d in self.pairs(ids, x, cells):
+            own = d <= self.d[i, -1]
+            if own.any():
+                self._add(i[own], ids[j[own]], d[own])
+
+    def _add(self, i: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        rows = np.unique(i)
+        row, at, d = np.concatenate([np.repeat(rows, self.k), i]), np.concatenate([self.at[rows].ravel(), ids]), np.concatenate([self.d[rows].ravel(), d])
+        o = np.lexsort((at, d, row))
+        row, at, d = row[o], at[o], d[o]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        own = place < self.k
+        self.d[row[own], place[own]], self.at[row[own], place[own]] = d[own], at[own]
+
+    def found(self) -> pa.RecordBatch:
+        i, j = np.nonzero(np.isfinite(self.d))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(self.at[i, j]), pa.array(self.d[i, j])], names=["query_id", "id", "distance"])
+
+
+def nearest(met: DataFrame, k: int, metric: str, *, skip_self: bool = False) -> DataFrame:
+    """top_k() of pairs of matrices (block, qids, qdata, ids, data), with probes and cells if there are cells, and with bound where queries have one. Of each matrix of queries
+    a task gives what is nearest among all of its own vectors."""
+    probed, bounded = "probes" in met.columns, "bound" in met.columns
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qids, q, ids, x in _each(batches):
-            for s in range(0, len(qids), 512):
-                d = D.pairwise(q[s : s + 512], x, metric)
-                if skip_self:
-                    d[qids[s : s + 512, None] == ids[None]] = np.inf
-                n = min(k, d.shape[1])
-                kth = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-                i, j = np.nonzero((d <= kth + 1e-9 * (1 + np.abs(kth))) & np.isfinite(d))  # ties are settled on exact distances
-                yield pa.RecordBatch.from_arrays([pa.array(qids[s + i]), pa.array(ids[j]), pa.array(D.exact(q[s + i], x[j], metric))], names=["query_id", "id", "distance"])
-
-    near = _met(queries, vectors, key, vector, qkey, qvector, by).mapInArrow(best, "query_id long, id long, distance double")
+        held: dict[int, Near] = {}
+        for b in batches:
+            for i, block in enumerate(b.column("block").to_pylist()):
+                if block not in held:
+                    if len(held) == HELD:
+                        yield held.pop(next(iter(held))).found()
+                    qids = row_ids(b, "qids", i)
+                    probes = np.unpackbits(np.frombuffer(b.column("probes")[i].as_buffer(), np.uint8).reshape(len(qids), -1), axis=1).astype(bool) if probed else None
+                    held[block] = Near(qids, row_matrix(b, "qdata", i, len(qids)), metric, k, skip_self=skip_self, probes=probes, bound=np.asarray(b.column("bound")[i].values) if bounded else None)
+                ids = row_ids(b, "ids", i)
+                held[block].meet(ids, row_matrix(b, "data", i, len(ids)), row_ids(b, "cells", i) if probed else None)
+        for near in held.values():
+            yield near.found()
+
+    near = met.mapInArrow(best, "query_id long, id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance", D.score(F.col("distance")).alias("score"))
 
 
-def pairs(queries: DataFrame, vectors: DataFrame, metric: str, *, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", qvector: str = "embedding") -> DataFrame:
-    """(query_id, id, distance) of all pairs."""
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", *, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", qvector: str = "embedding", skip_self: bool = False, by: str | None = None) -> DataFrame:
+    """(query_id, rank, id, distance, score): the k nearest vectors of every query, ties by id; with by, among those
+    of the same value in that column of both sides. Rows with a null id or without a usable() vector are left out;
+    vectors of different lengths are an error.
 
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qids, q, ids, x in _each(batches):
-            for s in range(len(qids)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qids[s])), pa.array(ids), pa.array(D.exact(q[s][None], x, metric))], names=["query_id", "id", "distance"])
+    Matrices of queries meet matrices of vectors; a task keeps the k best of each query, and a window keeps those of
+    all tasks.
+    """
+    return nearest(_sides(queries, vectors, key, vector, qkey, qvector, by), k, metric, skip_self=skip_self)
+
+
+def pairs(queries: DataFrame, vectors: DataFrame, metric: str, *, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", qvector: str = "embedding", most: float | None = None) -> DataFrame:
+    """(query_id, id, distance) of all pairs; with most, of those whose distance is no more, others don't leave the product of matrices."""
 
-    return _met(queries, vectors, key, vector, qkey, qvector).mapInArrow(every, "query_id long, id long, distance double")
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                qids, ids = row_ids(b, "qids", i), row_ids(b, "ids", i)
+                q, x = row_matrix(b, "qdata", i, len(qids)), row_matrix(b, "data", i, len(ids))
+                if q.shape[1] != x.shape[1]:
+                    raise ValueError(f"vectors of {q.shape[1]} and {x.shape[1]} dimensions")
+                if most is not None:
+                    for r, j, d in Near(qids, q, metric, bound=np.full(len(q), most)).pairs(ids, x):
+                        own = d <= most
+                        if own.any():
+                            yield pa.RecordBatch.from_arrays([pa.array(qids[r[own]]), pa.array(ids[j[own]]), pa.array(d[own])], names=["query_id", "id", "distance"])
+                    continue
+                for s in range(len(qids)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qids[s])), pa.array(ids), pa.array(D.exact(q[s][None], x, metric))], names=["query_id", "id", "distance"])
+
+    return _sides(queries, vectors, key, vector, qkey, qvector).mapInArrow(every, "query_id long, id long, distance double")
 
 
 def graph(vectors: DataFrame, m: int, metric: str = "l2", *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

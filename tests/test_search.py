@@ -178,3 +178,28 @@ def test_reverse_edges(spark):
     e = spark.createDataFrame([(1, 2, 0.1), (3, 2, 0.2), (4, 2, 0.3)], "src long, dst long, distance double")
     got = {(r.src, r.dst) for r in knn.reverse_connect(e, 2).collect()}
     assert got == {(1, 2), (3, 2), (4, 2), (2, 1), (2, 3)}
+
+
+def test_near_pairs_are_all_pairs_below_a_distance(spark):
+    x = np.concatenate([unit(300, 6), unit(40, 6) * 3, unit(20, 6) * 1e-20, unit(60, 6)])  # other norms, and copies
+    v = frame(spark, x).repartition(3)
+    q = v.withColumnRenamed("vec_id", "query_id")
+    all_pairs = {(r.query_id, r.id): r.distance for r in knn.pairs(q, v, "l2").where("distance <= 0.25").collect()}
+    assert {(r.query_id, r.id): r.distance for r in knn.pairs(q, v, "l2", most=0.25).collect()} == all_pairs and len(all_pairs) > 420
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_near_over_many_matrices(metric):
+    """The k nearest of matrices that come one after another are those of all of them, with copies, cells and bounds."""
+    x = np.concatenate([unit(500, 6), unit(100, 6), np.zeros((30, 6)), unit(50, 6) * 1e-19, unit(50, 6) * 1e9])
+    ids, q = np.random.default_rng(0).permutation(len(x)), x[::5]
+    probes, cells = np.random.default_rng(1).random((len(q), 7)) < 0.5, (ids % 7).astype(np.int32)
+    d = np.stack([D.exact(v[None], x, metric) for v in q])
+    for own, least in ((np.ones_like(d, bool), None), (probes[:, cells], None), (ids[::5, None] != ids, None), (np.ones_like(d, bool), np.sort(d, axis=1)[:, 8])):
+        by_cell, no_self = (own == probes[:, cells]).all(), (own == (ids[::5, None] != ids)).all()
+        near = knn.Near(ids[::5], q, metric, 8, skip_self=bool(no_self), probes=probes if by_cell else None, bound=least)
+        for s in range(0, len(x), 90):
+            near.meet(ids[s : s + 90], x[s : s + 90], cells[s : s + 90] if by_cell else None)
+        for i in range(len(q)):
+            want = [(d[i, j], ids[j]) for j in np.lexsort([ids, d[i]]) if own[i, j]][:8]
+            assert [x for x in zip(near.d[i], near.at[i], strict=True) if x[0] < np.inf] == want
