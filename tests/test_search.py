@@ -203,3 +203,19 @@ def test_near_over_many_matrices(metric):
         for i in range(len(q)):
             want = [(d[i, j], ids[j]) for j in np.lexsort([ids, d[i]]) if own[i, j]][:8]
             assert [x for x in zip(near.d[i], near.at[i], strict=True) if x[0] < np.inf] == want
+
+
+def test_a_query_goes_once_to_the_matrices_of_its_cells(spark, monkeypatch):
+    """However many cells it reads, and also where each task has some of the matrices only; the results are those of the cells."""
+    monkeypatch.setattr(knn, "ROWS", 64)
+    x = unit(700, 6)
+    v = frame(spark, x)
+    cells = ivf.Cells.fit(v, 20)
+    rows: list[int] = []
+    meet = knn.meet
+    monkeypatch.setattr(knn, "meet", lambda q, *a: rows.append(sum(len(r.qids) for r in q.select("qids").collect())) or meet(q, *a))
+    got = by_query(ivf.search(v.withColumnRenamed("vec_id", "query_id"), cells.assign(v), cells, 5, 12, skip_self=True))
+    assert rows == [700]  # not 700 x 12
+    d, own = D.pairwise(x, x, "l2"), cells.probed(x, 12)[:, cells.nearest(x)]
+    d[~own | np.eye(700, dtype=bool)] = np.inf
+    assert [[i for i, _ in got[n]] for n in range(700)] == [np.lexsort([np.arange(700), r])[:5].tolist() for r in d] and (cells.probed(x, 12).sum(1) == 12).all()
