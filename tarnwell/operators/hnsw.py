@@ -3,7 +3,8 @@
 A shard's graph is small enough for one task; more data means more shards, not a larger graph. Graphs are built once
 and stand in a table, a row each: build() makes it, store.saved() or a write keeps it, add() extends it by shards of
 new vectors, and find() searches it without building anything. Search goes to all shards, so its recall is at least
-that of one graph of the same beam.
+that of one graph of the same beam. complete() misses nothing: one graph tells each query how far its nearest are at
+most, and matrices of all shards' vectors are compared within that distance.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..config import IndexConfig
 from ..functions import distance as D
 from ..sources.store import saved
+from . import knn
 from .knn import blocks, diverse, usable
 
 
@@ -199,6 +201,43 @@ def find(queries: DataFrame, index: DataFrame, k: int, cfg: IndexConfig, *, ef:
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance", D.score(F.col("distance")).alias("score"))
 
 
+def complete(queries: DataFrame, index: DataFrame, k: int, cfg: IndexConfig, *, qkey: str = "query_id", qvector: str = "embedding") -> DataFrame:
+    """find() without its misses: (query_id, rank, id, distance, score) of the k nearest of all vectors in build()'s table, ties by id.
+
+    Each matrix of queries goes to one shard's graph, where a small beam finds k vectors: the farthest is a bound of
+    the query's. All shards' vectors then meet the queries as matrices, and what is beyond the bound is left out.
+    """
+    of = [r.shard for r in index.select("shard").collect()]  # a number for each shard
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, g = None, Graph(cfg)
+        for b in batches:
+            for i in range(b.num_rows):
+                if b.column("shard")[i].as_py() != shard:
+                    shard, g = b.column("shard")[i].as_py(), Graph.from_bytes(b.column("graph")[i].as_py(), cfg)
+                ids = knn.row_ids(b, "ids", i)
+                q = knn.row_matrix(b, "data", i, len(ids))
+                if q.shape[1] != cfg.dim:
+                    raise ValueError(f"expected {cfg.dim} dimensions, got {q.shape[1]}")
+                near = [g.search(v, k, k) for v in q]
+                bound = [x[-1][0] if len(x) == k else np.inf for x in near]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in ("block", "ids", "data")), pa.array([bound], pa.list_(pa.float64()))], names=["block", "qids", "qdata", "bound"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for graph in b.column("graph"):
+                with np.load(io.BytesIO(graph.as_py())) as parts:
+                    ids, x = parts["ids"], parts["x"]
+                for s in range(0, len(ids), knn.ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[s : s + knn.ROWS]], pa.list_(pa.int64())), pa.array([x[s : s + knn.ROWS].tobytes()], pa.binary())], names=["ids", "data"])
+
+    asked = blocks(queries, qkey, qvector).select("ids", "data").withColumn("block", F.monotonically_increasing_id())
+    one = F.element_at(F.array(*map(F.lit, of)) if of else F.array().cast("array<bigint>"), F.pmod(F.xxhash64("ids"), F.lit(max(1, len(of)))).cast("int") + 1)
+    bounded = asked.withColumn("shard", one).join(index.select("shard", "graph"), "shard").mapInArrow(bounds, "block long, qids array<long>, qdata binary, bound array<double>")
+    vectors = index.select("graph").mapInArrow(unpack, "ids array<long>, data binary")
+    return knn.nearest(knn.meet(bounded, vectors, queries.count(), index.agg(F.sum("n")).first()[0] or 0), k, cfg.metric)
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int, cfg: IndexConfig, *, per_shard: int = 20_000, ef: int = 0, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", qvector: str = "embedding") -> DataFrame:
     """find() on an index that is built, and saved, for it."""
     return find(queries, saved(build(vectors, cfg, per_shard=per_shard, key=key, vector=vector)), k, cfg, ef=ef, qkey=qkey, qvector=qvector)

@@ -219,3 +219,18 @@ def test_a_query_goes_once_to_the_matrices_of_its_cells(spark, monkeypatch):
     d, own = D.pairwise(x, x, "l2"), cells.probed(x, 12)[:, cells.nearest(x)]
     d[~own | np.eye(700, dtype=bool)] = np.inf
     assert [[i for i, _ in got[n]] for n in range(700)] == [np.lexsort([np.arange(700), r])[:5].tolist() for r in d] and (cells.probed(x, 12).sum(1) == 12).all()
+
+
+def test_complete_search_of_graphs_misses_nothing(spark):
+    """Where a narrow beam over several shards does miss, and with copies, which a graph keeps apart."""
+    x = np.concatenate([unit(900, 24), unit(900, 24)[:40]])
+    cfg = IndexConfig(dim=24, m=3, m_max0=4, ef_construct=8, ef_search=10)
+    v, q = frame(spark, x), frame(spark, x[::3], "query_id").repartition(3)
+    index = store.saved(hnsw.build(v, cfg, per_shard=300))
+    true = knn.top_k(q, v, 10)
+    assert knn.recall(hnsw.find(q, index, 10, cfg), true).first().recall < 1
+    assert knn.recall(hnsw.complete(q, index, 10, cfg), true).first().recall == 1.0
+    assert by_query(hnsw.complete(q, index, 10, cfg)) == by_query(true)
+    assert hnsw.complete(q, index.limit(0), 10, cfg).collect() == []
+    few = index.where("shard = 0 AND n < 0").unionByName(hnsw.build(v.limit(4), cfg))
+    assert all(len(r) == 4 for r in by_query(hnsw.complete(q.limit(5), few, 10, cfg)).values())
