@@ -110,3 +110,16 @@ def test_general_numbers(spark, x, text):
 def test_random_unit_vectors(spark):
     rows = [r.embedding for r in D.random_units(spark, 20, 8).collect()]
     assert all(abs(np.linalg.norm(v) - 1) < 1e-12 for v in rows) and len({tuple(v) for v in rows}) == 20
+
+
+def test_hits_of_all_pairs_are_those_of_each_pair(spark):
+    texts = ["graphical É ß", None, "", "xabcx ABC graph", "x" * 300 + "Graph" + "y" * 300, "a\tb\x0bc\fgraph x", "éÉ" * 50, "ABC" * 40 + " " + "z" * 70]
+    queries = ["Graph graph  x\tÉ", "", None, "  ", "ABC a b c abc", "ß  é", " x y", "z" * 65]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "graph")], "doc_id int, text string")
+    asked = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(queries)], "query_id string, query string")
+    got = T.hit_table(docs, asked)
+    pairs = docs.crossJoin(asked).select("query_id", "doc_id", T.keyword_hits(F.col("query"), F.col("text")).alias("hits"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert got.dtypes == pairs.dtypes and rows(got) == rows(pairs) and len(rows(got)) == 72
+    many = T.Keywords([f"w{i} w{i}" for i in range(3000)] + ["w1"])
+    assert many.hits(["W12 w12 nothing"])[0, [1, 12, 120, 3000]].tolist() == [2, 2, 0, 1] and many.hits(["w2999"])[0].sum() == 8
