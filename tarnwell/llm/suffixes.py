@@ -2,9 +2,11 @@
 
 Equal passages must meet in one shard although they stand in different files. So each document is cut into segments
 around anchors: the least hash of each window of passage length. Equal passages have the same anchor, and the segment
-around it, at least a passage long on either side as far as the anchor is the least, holds them whole. Segments go
-to shards by their anchor. Anchors of a single document can't be part of a repeat and stay behind; equal segments of
-an anchor are one string, of which the first holder stands for all (the others repeat it as they are).
+around it, at least a passage long on either side as far as the anchor is the least, holds them whole. Passages that
+begin at about the same distance from the anchor are a segment of their own, and segments go to shards by all the words
+that their passages have in common, so that a phrase of many documents doesn't bring what stands around it together.
+Such keys of a single document can't be part of a repeat and stay behind; equal segments of a key are one string, of
+which the first holder stands for all (the others repeat it as they are).
 
 Of each shard's segments the suffix array with common prefixes is built by induced sorting: in memory where the shard
 fits (induced.py), else with all that is as long as the text in files of the shared folder (external.py); a single
@@ -44,10 +46,11 @@ from .windows import WindowConfig, compact_windows
 
 @dataclass(frozen=True)
 class SuffixConfig:
-    """min_words: shortest passage (at most 254); shard_words: words of a shard, about; memory: bytes that a shard's sorting holds before it uses disk."""
+    """min_words: shortest passage (at most 254); starts: places at which the passages of a segment begin; shard_words: words of a shard, about; memory: bytes that a shard's sorting holds before it uses disk."""
 
     min_words: int = 50
     shingle: int = 6
+    starts: int = 12
     shard_words: int = 2_000_000
     memory: int = 256 << 20
     seed: int = 31
@@ -62,12 +65,27 @@ class SuffixConfig:
 
 
 def segments(words: np.ndarray, off: np.ndarray, cfg: SuffixConfig) -> tuple[np.ndarray, ...]:
-    """(document, start, end, anchor's value) of the segments; places within words."""
+    """(document, start, end, key) of the segments; places within words.
+
+    Passages around an anchor begin from width - 1 words before it up to the anchor itself. Those that begin within the
+    same `starts` of these places are a segment, whose key is the hash of the words that all of them hold.
+    """
     sh, to = C.shingles(words, off, cfg.shingle)
     _, d, left, c, right = compact_windows(sh, to, cfg.windows)
     reach = cfg.windows.width - 1
     shift = off[d] - to[d]
-    return d, np.maximum(left, c - reach) + shift, np.minimum(right, c + reach) + cfg.shingle + shift, sh[c] if len(c) else np.zeros(0, np.uint64)
+    base = c - reach
+    first, last = np.maximum(left, base), np.minimum(right, c + reach) + cfg.shingle - cfg.min_words  # beginnings of passages
+    part = (first - base) // cfg.starts
+    count = (last - base) // cfg.starts - part + 1
+    of = np.repeat(np.arange(len(d)), count)
+    part = C.expand(part, count)
+    low = base[of] + part * cfg.starts
+    high = np.minimum(low + cfg.starts - 1, c[of])
+    s, e = np.maximum(first[of], low), np.minimum(last[of], high) + cfg.min_words
+    d, shift = d[of], shift[of]
+    key = segment_hashes(words, high + shift, low + cfg.min_words + shift) + part.astype(np.uint64) if len(d) else np.zeros(0, np.uint64)
+    return d, s + shift, e + shift, C.mix(key)
 
 
 def segment_hashes(words: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -78,7 +96,7 @@ def segment_hashes(words: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarra
 
 
 def segment_table(docs: DataFrame, cfg: SuffixConfig) -> DataFrame:
-    """(key, seg, doc_id, place): anchor, hash of the words, and start and length of every segment."""
+    """(key, seg, doc_id, place): hash of the words that its passages have in common, hash of its words, and start and length of every segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.table_slices(batches, "text", C.SLICE_BYTES):

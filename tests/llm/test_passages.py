@@ -388,3 +388,15 @@ def test_range_minima():
         lo = r.integers(0, at, 200)
         hi = np.minimum(at - 1, lo + r.integers(0, 400, 200))
         assert m.query(lo, hi).tolist() == [a[x : y + 1].min() for x, y in zip(lo, hi, strict=True)]
+
+
+def test_a_phrase_of_all_documents_brings_no_segments_together(spark):
+    """Unless a whole passage repeats: what the segments of a key have in common is nearly a passage."""
+    phrase = " ".join(words(30, 7))
+    rows = [(k, f"{' '.join(words(90, 1000 + k))} {phrase} {' '.join(words(90, 5000 + k))}") for k in range(300)]
+    keys = suffixes.segment_table(table(spark, rows), suffixes.SuffixConfig()).select("key", "doc_id").distinct().groupBy("key").count()
+    assert keys.count() > 3000 and keys.where("count > 1").count() == 0
+    assert suffixes.repeated_passages(table(spark, rows)).count() == 0
+    rows += [(900 + k, f"{' '.join(words(9, 20_000 + k))} {' '.join(words(90, 1003)[-25:])} {phrase} x{k}") for k in range(2)]
+    missed, total = uncovered(rows, suffixes.repeated_passages(table(spark, rows)).collect())
+    assert total > 0 and missed == 0
