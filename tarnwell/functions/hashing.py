@@ -62,7 +62,7 @@ def hash_embed(text: Column | str, dim: int) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def embed(texts: pa.Array) -> pa.Array:
-        v = hash_vectors(texts.to_pylist(), dim)
+        v = np.concatenate([hash_vectors(texts.slice(s, 1024).to_pylist(), dim) for s in range(0, max(1, len(texts)), 1024)])
         off = pa.array(np.arange(len(v) + 1, dtype=np.int32) * dim)
         return pa.ListArray.from_arrays(off, pa.array(v.ravel()), mask=texts.is_null() if texts.null_count else None)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
@@ -41,18 +41,23 @@ def chunk_bounds(text: str, cfg: ChunkConfig) -> list[tuple[int, int]]:
     return out
 
 
+def sliced(f: Callable[..., pa.Array], *columns: pa.Array, rows: int = 256) -> pa.Array:
+    """f of the columns, some rows at a time, so that Python has objects of these only."""
+    return pa.concat_arrays([f(*(c.slice(s, rows) for c in columns)) for s in range(0, max(1, len(columns[0])), rows)])
+
+
 def chunks(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), key: str = "doc_id", text: str = "text", sizes: tuple[str, str] | None = None) -> DataFrame:
     """(key, chunk_idx, text): chunks of every text; null and empty texts have none. sizes: columns of each row's own
     chunk_size and chunk_overlap, which replace those of cfg where they aren't null; ValueError as in ChunkConfig."""
 
     @F.arrow_udf("array<string>")
     def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([[t[a:b] for a, b in chunk_bounds(t, cfg)] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+        return sliced(lambda x: pa.array([[t[a:b] for a, b in chunk_bounds(t, cfg)] if t else [] for t in x.to_pylist()], pa.list_(pa.string())), texts)
 
     @F.arrow_udf("array<string>")
     def cut_by(texts: pa.Array, size: pa.Array, overlap: pa.Array) -> pa.Array:
         of = functools.cache(lambda s, o: replace(cfg, **{k: v for k, v in (("chunk_size", s), ("chunk_overlap", o)) if v is not None}))
-        return pa.array([[t[a:b] for a, b in chunk_bounds(t, of(s, o))] if t else [] for t, s, o in zip(*(x.to_pylist() for x in (texts, size, overlap)), strict=True)], pa.list_(pa.string()))
+        return sliced(lambda *x: pa.array([[t[a:b] for a, b in chunk_bounds(t, of(s, o))] if t else [] for t, s, o in zip(*(c.to_pylist() for c in x), strict=True)], pa.list_(pa.string())), texts, size, overlap)
 
     parts = cut(text) if sizes is None else cut_by(text, *sizes)
     return docs.select(key, F.posexplode(parts).alias("chunk_idx", "text"))

@@ -123,3 +123,12 @@ def test_hits_of_all_pairs_are_those_of_each_pair(spark):
     assert got.dtypes == pairs.dtypes and rows(got) == rows(pairs) and len(rows(got)) == 72
     many = T.Keywords([f"w{i} w{i}" for i in range(3000)] + ["w1"])
     assert many.hits(["W12 w12 nothing"])[0, [1, 12, 120, 3000]].tolist() == [2, 2, 0, 1] and many.hits(["w2999"])[0].sum() == 8
+
+
+def test_long_columns_are_cut_some_rows_at_a_time():
+    import pyarrow as pa
+
+    seen = []
+    out = T.sliced(lambda x, y: seen.append(len(x)) or pa.array([[a] * b for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.list_(pa.string())), pa.array(["a", None] * 500), pa.array([1, 2] * 500), rows=64)
+    assert max(seen) == 64 and sum(seen) == 1000 and out.to_pylist() == [["a"], [None, None]] * 500
+    assert T.sliced(lambda x: x, pa.array([], pa.string())).to_pylist() == []
