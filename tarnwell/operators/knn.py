@@ -250,13 +250,18 @@ def heuristic_graph(vectors: DataFrame, m: int, candidates: int, metric: str = "
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for src, c in zip(b.column("query_id").to_pylist(), b.column("c").to_pylist(), strict=True):
-                x = np.array([e["v"] for e in c])
-                out += [(src, r, c[i]["id"], c[i]["distance"]) for r, i in enumerate(diverse(x, np.array([e["distance"] for e in c]), m, metric), 1)]
-            if out:
-                src, rank, dst, distance = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(rank, pa.int32()), pa.array(dst, pa.int64()), pa.array(distance)], names=["src", "rank", "dst", "distance"])
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                count, c = part.column("c").value_lengths().to_numpy(zero_copy_only=False), part.column("c").flatten()
+                at = np.repeat(np.cumsum(count) - count, count)
+                row, place = np.repeat(np.arange(len(count)), count), np.arange(len(c)) - at
+                v, own = _matrix(c.field("v")), c.field("distance").to_numpy(zero_copy_only=False)
+                x, d = np.zeros((len(count), max(count, default=0), v.shape[1])), np.full((len(count), max(count, default=0)), np.inf)
+                x[row, place], d[row, place] = v, own
+                chosen = diverse_rows(x, d, count, m, metric)
+                src, rank = np.nonzero(chosen >= 0)
+                i = pa.array((np.cumsum(count) - count)[src] + chosen[src, rank])
+                yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(src)), pa.array(rank + 1, pa.int32()), c.field("id").take(i), c.field("distance").take(i)], names=["src", "rank", "dst", "distance"])
 
     return lists.mapInArrow(choose, "src long, rank int, dst long, distance double")
 
@@ -272,6 +277,27 @@ def diverse(x: np.ndarray, d: np.ndarray, m: int, metric: str) -> list[int]:
     return chosen + rest[: m - len(chosen)]
 
 
+def diverse_rows(x: np.ndarray, d: np.ndarray, count: np.ndarray, m: int, metric: str) -> np.ndarray:
+    """diverse() of many sources at once: row r of x has count[r] candidates, and row r of the result what is chosen of them, then -1."""
+    n, most = d.shape
+    chosen, size = np.full((n, m), -1), np.zeros(n, int)
+    near = np.zeros((n, most), bool)  # nearer to a chosen one than the source is
+    left = np.zeros((n, most), bool)
+    for i in range(most):
+        open_ = (i < count) & (size < m)
+        left[:, i] = open_ & near[:, i]
+        r = np.flatnonzero(open_ & ~near[:, i])
+        if len(r):
+            chosen[r, size[r]] = i
+            size[r] += 1
+            near[r, i + 1 :] |= D.exact(x[r, i + 1 :], x[r, i : i + 1], metric) < d[r, i + 1 :]
+    for i in range(most):
+        r = np.flatnonzero(left[:, i] & (size < m))
+        chosen[r, size[r]] = i
+        size[r] += 1
+    return chosen
+
+
 def reverse_connect(edges: DataFrame, m_max: int) -> DataFrame:
     """Edges with their reverse, the m_max nearest of each source."""
     both = edges.select("src", "dst", "distance").unionByName(edges.selectExpr("dst AS src", "src AS dst", "distance")).distinct()

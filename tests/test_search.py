@@ -234,3 +234,11 @@ def test_complete_search_of_graphs_misses_nothing(spark):
     assert hnsw.complete(q, index.limit(0), 10, cfg).collect() == []
     few = index.where("shard = 0 AND n < 0").unionByName(hnsw.build(v.limit(4), cfg))
     assert all(len(r) == 4 for r in by_query(hnsw.complete(q.limit(5), few, 10, cfg)).values())
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_diverse_edges_of_many_sources_at_once(metric):
+    x, count = np.random.default_rng(2).normal(size=(60, 15, 5)), np.random.default_rng(3).integers(0, 16, 60)
+    d = np.sort(D.exact(x, np.zeros((1, 1, 5)) + 0.3, metric), axis=1)
+    got = knn.diverse_rows(x, d, count, 6, metric)
+    assert [[int(i) for i in r if i >= 0] for r in got] == [knn.diverse(x[k, : count[k]], d[k, : count[k]], 6, metric) for k in range(60)]
